@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .common import documents
+from .quality import OP9_SQL, op9
 from .simhash import op5
 
 
 def queries() -> dict:
     return {
         "op5_simhash_near_dedup": lambda spark, sf_dir: op5(documents(spark, sf_dir)),
+        "op9_quality_rules": lambda spark, sf_dir: op9(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op9_quality_rules": OP9_SQL,
+    }
