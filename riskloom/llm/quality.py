@@ -20,7 +20,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "2 * n_dup_lines > n_lines"),
     ("all_capitals", "all_capitals"),
     ("exclamations", "5 * n_exclamations > n_words"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import documents
+from .pii import op10
 from .quality import OP9_SQL, op9
 from .simhash import op5
 
@@ -10,6 +11,7 @@ from .simhash import op5
 def queries() -> dict:
     return {
         "op5_simhash_near_dedup": lambda spark, sf_dir: op5(documents(spark, sf_dir)),
+        "op10_pii": lambda spark, sf_dir: op10(documents(spark, sf_dir)),
         "op9_quality_rules": lambda spark, sf_dir: op9(documents(spark, sf_dir)),
     }
 
