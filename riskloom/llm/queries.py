@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import documents, labels
+from .lm_scoring import op7
 from .pii import op10
 from .quality import OP9_SQL, op9
 from .simhash import op5
@@ -13,6 +14,7 @@ def queries() -> dict:
     return {
         "op3_toxicity": lambda spark, sf_dir: op3(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: op5(documents(spark, sf_dir)),
+        "op7_lm_scoring": lambda spark, sf_dir: op7(documents(spark, sf_dir)),
         "op10_pii": lambda spark, sf_dir: op10(documents(spark, sf_dir)),
         "op9_quality_rules": lambda spark, sf_dir: op9(documents(spark, sf_dir)),
     }
