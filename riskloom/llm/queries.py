@@ -7,6 +7,7 @@ from .lm_scoring import op7
 from .pii import op10
 from .quality import OP9_SQL, op9
 from .simhash import op5
+from .sketches import op8
 from .toxicity import op3
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op3_toxicity": lambda spark, sf_dir: op3(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: op5(documents(spark, sf_dir)),
         "op7_lm_scoring": lambda spark, sf_dir: op7(documents(spark, sf_dir)),
+        "op8_document_fingerprints": lambda spark, sf_dir: op8(documents(spark, sf_dir)),
         "op10_pii": lambda spark, sf_dir: op10(documents(spark, sf_dir)),
         "op9_quality_rules": lambda spark, sf_dir: op9(documents(spark, sf_dir)),
     }
