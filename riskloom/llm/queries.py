@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents, labels
 from .lm_scoring import op7
 from .pii import op10
+from .piece_dropout import op6
 from .quality import OP9_SQL, op9
 from .simhash import op5
 from .sketches import op8
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op5_simhash_near_dedup": lambda spark, sf_dir: op5(documents(spark, sf_dir)),
         "op7_lm_scoring": lambda spark, sf_dir: op7(documents(spark, sf_dir)),
         "op8_document_fingerprints": lambda spark, sf_dir: op8(documents(spark, sf_dir)),
+        "op6_piece_dropout": lambda spark, sf_dir: op6(documents(spark, sf_dir)),
         "op10_pii": lambda spark, sf_dir: op10(documents(spark, sf_dir)),
         "op9_quality_rules": lambda spark, sf_dir: op9(documents(spark, sf_dir)),
     }
