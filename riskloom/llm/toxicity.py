@@ -76,8 +76,8 @@ def _count(training: DataFrame) -> DataFrame:
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int = 400, decay: float = 1e-4):
     """Logistic regression on scaled binary features by full-batch Adagrad."""
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate([np.zeros(0, dtype=np.int64), *rows]).astype(np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    col = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
     w, bias = np.full(len(ratios), 0.05), -1.0
     gw, gb = np.full(len(ratios), 1e-8), 1e-8
     for _ in range(rounds):
@@ -92,7 +92,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          held_out: tuple[int, int] | None = (3, 1), max_count_rows: int = 200_000, max_fit_rows: int = 40_000,
+          held_out: tuple[int, int] | None = (3, 1), max_count_rows: int = 200_000, max_fit_rows: int = 16_000,
           max_features: int = 32_768, least_z: float = 4.0, least_texts: int = 5) -> Model:
     """Learns from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
@@ -141,11 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = []
             for t in _texts(b.column(0)):
                 h = at[ngram_buckets(t)]
-                found.append(np.unique(h[h >= 0]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["f", "toxic"])
+                found.append(np.unique(h[h >= 0]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["f", "toxic"])
 
-    rows = training.where(share(max_fit_rows)).select("text", "toxic").mapInArrow(present, "f array<int>, toxic int").collect()
-    w, bias = _fit([np.array(r["f"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), ratios)
+    rows = training.where(share(max_fit_rows)).select("text", "toxic").mapInArrow(present, "f binary, toxic int").collect()
+    w, bias = _fit([np.frombuffer(r["f"], dtype=np.int32) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), ratios)
     return Model(buckets, w * ratios, float(bias))
 
 
