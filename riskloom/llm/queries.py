@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .common import documents, labels
+from .licenses import op1
 from .lm_scoring import op7
 from .pii import op10
 from .piece_dropout import op6
 from .quality import OP9_SQL, op9
 from .simhash import op5
 from .sketches import op8
+from .token_counts import op2
 from .toxicity import op3
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": lambda spark, sf_dir: op1(documents(spark, sf_dir)),
+        "op2_token_counts": lambda spark, sf_dir: op2(documents(spark, sf_dir)),
         "op3_toxicity": lambda spark, sf_dir: op3(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: op5(documents(spark, sf_dir)),
         "op7_lm_scoring": lambda spark, sf_dir: op7(documents(spark, sf_dir)),
