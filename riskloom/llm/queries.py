@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents, labels
 from .licenses import op1
 from .lm_scoring import op7
+from .mixing import op4
 from .pii import op10
 from .piece_dropout import op6
 from .quality import OP9_SQL, op9
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op1_license_scan": lambda spark, sf_dir: op1(documents(spark, sf_dir)),
         "op2_token_counts": lambda spark, sf_dir: op2(documents(spark, sf_dir)),
         "op3_toxicity": lambda spark, sf_dir: op3(documents(spark, sf_dir), labels(spark, sf_dir)),
+        "op4_mixing": lambda spark, sf_dir: op4(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op5_simhash_near_dedup": lambda spark, sf_dir: op5(documents(spark, sf_dir)),
         "op7_lm_scoring": lambda spark, sf_dir: op7(documents(spark, sf_dir)),
         "op8_document_fingerprints": lambda spark, sf_dir: op8(documents(spark, sf_dir)),
