@@ -200,15 +200,26 @@ def quality_domain(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, shares: list[float] | None = None) -> tuple[DataFrame, list[float]]:
-    """``keep`` columns, ``tokens``, ``p`` and ``rate`` of each row of ``docs``, and the residuals left."""
+def fit(docs: DataFrame, labels: DataFrame, shares: list[float] | None = None, keep: list[str] | None = None) -> tuple[Domains, DataFrame, Column, list[float]]:
+    """The classifier, the stored members (``keep`` columns, ``tokens``, ``p``), the rate over ``p``, and the residuals left."""
     model = train(docs, quality_domain(labels), QUALITY_DOMAINS)
     members = stored(posteriors(docs, model, keep=keep), "domain-members")
     rate, left = fit_rates(members, target_totals(members, shares or QUALITY_SHARES))
-    return members.withColumn("rate", rate), left
+    return model, members, rate, left
+
+
+def sampled(docs: DataFrame, labels: DataFrame, keep: list[str], shares: list[float] | None = None) -> DataFrame:
+    """``keep`` columns of the rows of ``docs`` that a draw at their rates takes, each once at most.
+
+    The draw is a hash of id and text, so it is the same at every run and repeated rows share their fate; rows with rates
+    of one or more are always taken.
+    """
+    model, _, rate, _ = fit(docs, labels, shares)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)) / 1_000_000
+    return posteriors(docs, model, keep=keep).where(draw < rate).select(*keep)
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, the posteriors of the two domains of quality, and the fitted rate of each document."""
-    mixed, _ = mix(docs, labels, keep=["doc_id"])
-    return mixed.select("doc_id", F.col("tokens").alias("n_tokens"), F.get("p", F.lit(0)).alias("p_high"), F.get("p", F.lit(1)).alias("p_low"), "rate")
+    _, members, rate, _ = fit(docs, labels, keep=["doc_id"])
+    return members.select("doc_id", F.col("tokens").alias("n_tokens"), F.get("p", F.lit(0)).alias("p_high"), F.get("p", F.lit(1)).alias("p_low"), rate.alias("rate"))

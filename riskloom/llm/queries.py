@@ -15,8 +15,15 @@ from .token_counts import op2
 from .toxicity import op3
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_license_scan": lambda spark, sf_dir: op1(documents(spark, sf_dir)),
         "op2_token_counts": lambda spark, sf_dir: op2(documents(spark, sf_dir)),
         "op3_toxicity": lambda spark, sf_dir: op3(documents(spark, sf_dir), labels(spark, sf_dir)),

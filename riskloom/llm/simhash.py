@@ -209,6 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(classes, "fp").select("id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 6) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays (of equal
+    ids, the smallest hash of the text; null ids count as highest), and repeated rows stay once."""
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    keyed = docs.withColumn("_key", key)
+    found = near_duplicates(keyed, "_key", text_col, words, max_bits)
+    stays = found.where("id = component_id").select(F.col("id").alias("_key")).distinct()
+    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
 def op5(docs: DataFrame) -> DataFrame:
     """Contract digest of ``near_duplicates``: doc_id, fingerprint (16 hex digits), component_id."""
     got = near_duplicates(docs)
