@@ -31,10 +31,11 @@ from pyspark.sql import types as T
 from .common import crc_mod, small_batches, stored, text_bytes
 
 END = b""  # no word is empty
-CLASSES, BUCKETS, DIM = 2048, 256, 32
+CLASSES, BUCKETS, DIM = 2048, 256, 16
 WORDS = CLASSES - BUCKETS
 HEAD = 131_072
-NOISE, STEP = 48, 2048
+NOISE, STEP = 32, 8192
+RATE, EPOCHS = 0.1, 3
 
 
 @dataclass
@@ -102,32 +103,30 @@ def start(log_share: np.ndarray, seed: int = 1) -> Params:
     return p
 
 
+def _summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` by class."""
+    columns = np.ascontiguousarray(rows.T)
+    return np.stack([np.bincount(at, c, CLASSES) for c in columns], axis=1).astype(np.float32)
+
+
 def nce_step(p: Params, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, noise: np.ndarray, log_share: np.ndarray, rate: float = 0.08) -> None:
     """One step of noise-contrastive estimation on tokens ``w`` after ``w2, w1``, with noise shared by the batch."""
-    k = np.float32(np.log(len(noise)))
-    ctx = p.p1[w1] + p.p2[w2]
+    less = np.float32(np.log(len(noise))) + log_share
+    ctx, q_true, q_noise = p.p1[w1] + p.p2[w2], p.q[w], p.q[noise]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    true = sigmoid(np.einsum("ij,ij->i", ctx, p.q[w]) + p.b[w] - k - log_share[w]) - 1
-    false = sigmoid(ctx @ p.q[noise].T + p.b[noise] - k - log_share[noise])
-    g_ctx = true[:, None] * p.q[w] + false @ p.q[noise]
-    g_q_true, g_q_noise = true[:, None] * ctx, false.T @ ctx
-
-    def update(table, squares, at, grad):
-        total = np.zeros_like(table)
-        np.add.at(total, at, grad)
-        rows = np.unique(at)
-        g = total[rows]
-        squares[rows] += g * g
-        table[rows] -= rate * g / np.sqrt(squares[rows])
-
-    update(p.p1, p.squares[0], w1, g_ctx)
-    update(p.p2, p.squares[1], w2, g_ctx)
-    update(p.q, p.squares[2], np.concatenate([w, noise]), np.concatenate([g_q_true, g_q_noise]))
-    update(p.b, p.squares[3], np.concatenate([w, noise]), np.concatenate([true, false.sum(axis=0)]))
+    true = sigmoid((ctx * q_true).sum(axis=1) + (p.b - less)[w]) - 1
+    false = sigmoid(ctx @ q_noise.T + (p.b - less)[noise])
+    g_ctx = true[:, None] * q_true + false @ q_noise
+    g_q, g_b = _summed(w, true[:, None] * ctx), np.bincount(w, true, CLASSES).astype(np.float32)
+    np.add.at(g_q, noise, false.T @ ctx)
+    np.add.at(g_b, noise, false.sum(axis=0))
+    for table, squares, g in zip((p.p1, p.p2, p.q, p.b), p.squares, (_summed(w1, g_ctx), _summed(w2, g_ctx), g_q, g_b)):
+        squares += g * g
+        table -= rate * g / np.sqrt(squares)
 
 
 def class_ids(text: bytes, at: dict[bytes, int]) -> np.ndarray:
-    """Classes of the text's tokens, after two ends that stand before it."""
+    """Classes of the text's tokens, after two ends that stand before it; ``at`` has those of frequent words."""
     get, words = at.get, text.lower().split()
     ids = [get(w, -1) for w in words]
     if -1 in ids:
@@ -136,12 +135,14 @@ def class_ids(text: bytes, at: dict[bytes, int]) -> np.ndarray:
     return np.array([end, end, *ids, end], dtype=np.int32)
 
 
-def _trained(texts: DataFrame, words: list[bytes], log_share: np.ndarray, init: Params, rate: float) -> DataFrame:
+def _trained(texts: DataFrame, shared, log_share: np.ndarray, init: Params, rate: float, step: int = STEP, epochs: int = 1) -> DataFrame:
     """Each partition's model after all its texts, as rows ``r, n, v`` weighted by its tokens."""
-    size = CLASSES * 3 + CLASSES // DIM
+    size = 2 * (CLASSES * 3 + CLASSES // DIM)
 
     def run(batches):
-        at = {w: i for i, w in enumerate(words)}
+        if epochs > 1:
+            batches = list(batches)  # only of bounded texts
+        at = {w: i if i < WORDS else bucket_class(w) for i, w in enumerate(shared.value)}
         p = Params(init.p1.copy(), init.p2.copy(), init.q.copy(), init.b.copy(), [s.copy() for s in init.squares])
         rng = np.random.default_rng(7)
         cumulative = np.cumsum(np.exp(log_share.astype(np.float64)))
@@ -152,23 +153,23 @@ def _trained(texts: DataFrame, words: list[bytes], log_share: np.ndarray, init:
             w2 = np.concatenate([i[:-2] for i in ids_of_texts])
             w = np.concatenate([i[2:] for i in ids_of_texts])
             order = rng.permutation(len(w))
-            for s in range(0, len(w), STEP):
-                o = order[s:s + STEP]
+            for s in range(0, len(w), step):
+                o = order[s:s + step]
                 noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), CLASSES - 1)
                 nce_step(p, w1[o], w2[o], w[o], noise, log_share, rate)
             return len(w)
 
-        for b in batches:
+        for b in itertools.chain.from_iterable(itertools.repeat(batches, epochs)):
             for t in text_bytes(b.column(0)):
                 waiting.append(class_ids(t, at))
                 have += len(waiting[-1])
-                if have > 65536:
+                if have > 262144:
                     tokens += learn(waiting)
                     waiting, have = [], 0
         if waiting:
             tokens += learn(waiting)
         if tokens:
-            flat = np.concatenate([p.p1, p.p2, p.q, p.b.reshape(-1, DIM)]).astype(np.float64) * tokens
+            flat = np.concatenate([x.reshape(-1, DIM) for x in (p.p1, p.p2, p.q, p.b, *p.squares)]).astype(np.float64) * tokens
             names = ["r", "n", *(f"v{k}" for k in range(DIM))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, tokens, dtype=np.int64)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(DIM))], names)
@@ -181,8 +182,9 @@ def _averaged(rows: DataFrame, init: Params) -> Params:
     if not got:
         return init
     flat = np.array([[r[f"v{k}"] / r["n"] for k in range(DIM)] for r in got], dtype=np.float32)
-    c = CLASSES
-    return Params(flat[:c], flat[c:2 * c], flat[2 * c:3 * c], flat[3 * c:].reshape(-1), init.squares)
+    c, end = CLASSES, CLASSES * 3 + CLASSES // DIM
+    tables = lambda x: [x[:c], x[c:2 * c], x[2 * c:3 * c], x[3 * c:].reshape(-1)]
+    return Params(*tables(flat[:end]), tables(flat[end:]))
 
 
 def train(docs: DataFrame, text_col: str = "text", pilot_bytes: int = 6_000_000, head: int = HEAD) -> tuple[Model, DataFrame]:
@@ -218,11 +220,11 @@ def train(docs: DataFrame, text_col: str = "text", pilot_bytes: int = 6_000_000,
     sized = texts.withColumn("b", F.octet_length("text"))
     total_bytes = sized.agg(F.sum("b")).first()[0] or 1
     share = int(1_000_000 * min(1.0, pilot_bytes / max(1, total_bytes)))
-    pilot_texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < max(share, 1)).repartition(4)
+    pilot_texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < max(share, 1)).repartition(1)  # bounded by pilot_bytes
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     pilot = start(log_share)
-    for rate in (0.1, 0.06):
-        pilot = _averaged(_trained(pilot_texts, own, log_share, pilot, rate), pilot)
-    model.params = _averaged(_trained(texts, own, log_share, pilot, 0.03), pilot)
+    pilot = _averaged(_trained(pilot_texts, shared, log_share, pilot, RATE, 2048, EPOCHS), pilot)
+    model.params = _averaged(_trained(texts, shared, log_share, pilot, RATE), pilot)
     return model, vocabulary
 
 
