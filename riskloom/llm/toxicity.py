@@ -92,8 +92,8 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          held_out: tuple[int, int] | None = (3, 1), max_count_rows: int = 200_000, max_fit_rows: int = 16_000,
-          max_features: int = 32_768, least_z: float = 4.0, least_texts: int = 5) -> Model:
+          held_out: tuple[int, int] | None = (3, 1), max_count_rows: int = 200_000, max_fit_rows: int = 12_000,
+          max_features: int = 4_096, least_z: float = 4.0, least_texts: int = 5) -> Model:
     """Learns from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
     ``held_out`` (modulus, remainder) keeps rows out by the crc32 of the id's text. Other labels and null ids are
