@@ -1,11 +1,15 @@
-"""All registered queries of the reference's own operators, and the SQL that checks them."""
+"""All registered queries of the risk operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from . import message_plans
+
+MODULES = [message_plans]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
