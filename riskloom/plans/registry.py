@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import message_plans
+from . import message_plans, url_plans
 
-MODULES = [message_plans]
+MODULES = [message_plans, url_plans]
 
 
 def queries() -> dict:
