@@ -93,9 +93,9 @@ LINKS = f"""SELECT page_id AS link_id, CASE WHEN page_id % 16 = 15 THEN NULL ELS
 _NOTES = ("Order", "urgent refund, claim now", "KYC update, verify account today only", "share OTP and PIN", "gift prize winner, act now, password", "lunch", "rent", "won lottery")
 PAYMENTS = f"""SELECT o_orderkey AS pay_id, CASE o_orderkey % 16
   WHEN 14 THEN 'upi://mandate?pa=c' || CAST(o_custkey AS {{text}}) || '@upi'
-  WHEN 15 THEN 'upi://pay?am=' || CAST(CAST(o_totalprice AS BIGINT) AS {{text}})
+  WHEN 15 THEN 'upi://pay?am=' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS {{text}})
   ELSE 'upi://pay?pa=c' || CAST(o_custkey AS {{text}}) || '@upi' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '&pn=Shop+' || CAST(o_custkey % 50 AS {{text}}) END
-    || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '&am=' || CAST(CAST(o_totalprice AS BIGINT) AS {{text}}) END || '&cu=INR&tn=' || replace({_case('o_orderkey % 8', _NOTES, "''")}, ' ', '%20')
+    || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '&am=' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS {{text}}) END || '&cu=INR&tn=' || replace({_case('o_orderkey % 8', _NOTES, "''")}, ' ', '%20')
   END AS uri FROM orders"""
 
 SENDERS = f"""SELECT s_suppkey AS sender_id, CASE s_suppkey % 6 WHEN 0 THEN 'SBI Alerts' WHEN 1 THEN 'PayPal Support' WHEN 2 THEN 'Google' WHEN 3 THEN 'Amazon' WHEN 4 THEN '' ELSE s_name END AS display_name,
