@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import message_plans, payment_plans, url_plans
+from . import data_plans, message_plans, payment_plans, url_plans
 
-MODULES = [message_plans, url_plans, payment_plans]
+MODULES = [message_plans, url_plans, payment_plans, data_plans]
 
 
 def queries() -> dict:
