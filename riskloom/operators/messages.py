@@ -140,6 +140,11 @@ def message_scores(found: DataFrame) -> DataFrame:
     return scored.selectExpr("msg_id", "lang", "CAST(raw10 AS DOUBLE) / 10 AS raw_score", *_verdict_sql(), "guarded", "n_fired")
 
 
+def with_scores(found: DataFrame) -> DataFrame:
+    """All columns of ``indicators`` beside the score and its verdict."""
+    return found.selectExpr("*", *_score_sql(Spark)).selectExpr("*", *_verdict_sql())
+
+
 # ---- the same in the checking engine, with a plain nested loop over the terms ----------------------
 
 def oracle_ctes(messages: str) -> str:
