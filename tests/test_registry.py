@@ -1,5 +1,6 @@
 """Every registered query of the risk operators runs, and those with SQL agree with it."""
 
+import pandas as pd
 import pytest
 
 from riskloom.plans import registry
@@ -18,7 +19,7 @@ def con(sf_dir):
 
 def _rows(frame, columns):
     def plain(v):
-        return None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     return sorted((tuple(plain(v) for v in row) for row in frame[columns].astype(object).itertuples(index=False)), key=str)
 
