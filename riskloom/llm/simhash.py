@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import small_batches, stored, text_bytes
 from .components import connected_components
 
@@ -209,13 +210,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 6) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays (of equal
-    ids, the smallest hash of the text; null ids count as highest), and repeated rows stay once."""
-    key = F.struct(F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, cell_rows: int = 2048) -> DataFrame:
+    """The rows of ``docs`` without near-copies: of each component the row with the smallest id stays (of equal
+    ids, the smallest hash of the text; null ids count as highest), and repeated rows stay once. Null texts count as
+    empty; texts without words are alike."""
+    own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(own).alias("text"))
     keyed = docs.withColumn("_key", key)
-    found = near_duplicates(keyed, "_key", text_col, words, max_bits)
-    stays = found.where("id = component_id").select(F.col("id").alias("_key")).distinct()
+    firsts = stored(keyed.groupBy(F.col("_key.text").alias("node")).agg(F.min("_key").alias("_key")), "distinct-texts")
+    texts = keyed.select(F.col("_key.text").alias("id"), own.alias("text")).dropDuplicates(["id"])
+    found = connected_components(near_copies.links(stored(texts, "texts"), words, least, cell_rows))
+    linked = firsts.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = stored(linked.groupBy("root").agg(F.min("_key").alias("_key")).select("_key"), "stays")
     return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
