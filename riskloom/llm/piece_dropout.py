@@ -1,9 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merges of a BPE piece model are taken from an agenda, best score first, then leftmost. A candidate is skipped
-for good when a hash keyed by the seed, the variant and the chunk, taken at the candidate's place, falls below the
-dropout; so one seed and variant always give one segmentation, and others give others. Texts are dealt to ``variants``
-variants by the hash of their id, which lets a worker remember the chunks that it has segmented.
+for good with the chance of the dropout, each independently: from a hash keyed by the seed, the variant, the document's
+id and the chunk's place come the counts of candidates up to the next skip (a geometric law). So one seed gives a
+document one segmentation, and the same word another one in every place. What a chunk becomes depends only on which of
+its candidates are skipped, so a worker remembers chunks by the numbers of those, and not by place.
 
 Every character has pieces or bytes to stand for it: a literal U+2581 is spelled in bytes, as pieces use it for the
 blank. Decoding therefore returns the text exactly.
@@ -12,6 +13,8 @@ blank. Decoding therefore returns the text exactly.
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 import re
 
 import numpy as np
@@ -27,6 +30,20 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 _REMEMBERED = 400_000
 _MASK = (1 << 64) - 1
+_SHORT = 48  # characters of a chunk that is remembered
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _mixed(z: int) -> int:
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & _MASK
+    return z ^ z >> 31
+
+
+def _mixed_all(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 class Pieces:
@@ -55,20 +72,31 @@ class Pieces:
             self.chunks = re.compile(pattern, re.DOTALL)
             if all(self.chunks.fullmatch(p.replace(BLANK, " ")) and len(self.chunks.findall(p.replace(BLANK, " "))) == 1 for p in self.ids):
                 break
-        self.bound = int(dropout * (1 << 64))
+        self.scale = None if dropout <= 0 else 1 / math.log1p(-dropout) if dropout < 1 else 0.0
         self.seed = seed
-        self.known: dict[tuple[int, str], tuple[int, ...]] = {}
-
-    def _skipped(self, key: int, i: int, mid: int, end: int) -> bool:
-        return (key ^ (i << 42 | mid << 21 | end)) * 0xBF58476D1CE4E5B9 & _MASK < self.bound
-
-    def segment(self, chunk: str, variant: int) -> tuple[int, ...]:
-        """Piece ids of one chunk, whose blanks are already written as pieces write them."""
-        whole = self.ids.get(chunk)
-        if len(chunk) == 1 and whole is not None:
-            return (whole,)
-        key = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant & _MASK)
-        starts = self._short(chunk, key) if len(chunk) <= 48 else self._long(chunk, key)
+        self.known: dict[str, list] = {}
+        self.remembered = 0
+
+    def _jump(self, key: int, t: int) -> int:
+        """Candidates that stay before the skip number ``t`` of the chunk with this key."""
+        return int(math.log(((_mixed(key + t * _STEP & _MASK) >> 11) + 0.5) * 2.0 ** -53) * self.scale)
+
+    def _skips(self, key: int):
+        """Numbers of the candidates that are skipped, without end."""
+        at = -1
+        for t in itertools.count() if self.scale is not None else ():
+            at += 1 + self._jump(key, t)
+            yield at
+
+    def _first(self, key: int, n: int) -> tuple[np.ndarray, list[int]]:
+        """Keys of the ``n`` places of a document, and the first skip of each as ``_skips()`` has it."""
+        keys = _mixed_all(np.uint64(key) + np.arange(n, dtype=np.uint64) * np.uint64(_STEP))
+        if self.scale is None:
+            return keys, [1 << 62] * n
+        draws = np.log(((_mixed_all(keys) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53) * self.scale
+        return keys, draws.astype(np.int64).tolist()
+
+    def _ids(self, chunk: str, starts: list[int]) -> tuple[int, ...]:
         out: list[int] = []
         for s, e in zip(starts, [*starts[1:], len(chunk)]):
             piece = chunk[s:e]
@@ -79,29 +107,39 @@ class Pieces:
                 out.append(k)
         return tuple(out)
 
-    def _short(self, chunk: str, key: int) -> list[int]:
-        """Starts of the symbols left; the agenda is a list of ranks beside the symbols, searched for its least."""
-        get, none, bound, mask = self.rank.get, float("inf"), self.bound, _MASK
+    def segment(self, chunk: str, key: int) -> tuple[int, ...]:
+        """Piece ids of one chunk, whose blanks are already written as pieces write them."""
+        return self._ids(chunk, self._short(chunk, key) if len(chunk) <= _SHORT else self._long(chunk, key))
+
+    def _merged(self, chunk: str, skips) -> tuple[list[int], int]:
+        """Starts of the symbols left, and how many candidates came up; the agenda is a list of ranks beside the symbols, searched for its least."""
+        get, none = self.rank.get, float("inf")
         at = list(range(len(chunk) + 1))  # starts, then the end
         ranks = [get(chunk[i:i + 2], none) for i in range(len(chunk) - 1)]
+        skip, n = next(skips, -1), 0
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             k = ranks.index(best)
-            if bound and (key ^ (at[k] << 42 | at[k + 1] << 21 | at[k + 2])) * 0xBF58476D1CE4E5B9 & mask < bound:  # as _skipped()
-                ranks[k] = none
+            n += 1
+            if n - 1 == skip:
+                skip, ranks[k] = next(skips, -1), none
                 continue
             del at[k + 1], ranks[k]
             if k:
                 ranks[k - 1] = get(chunk[at[k - 1]:at[k + 1]], none)
             if k < len(ranks):
                 ranks[k] = get(chunk[at[k]:at[k + 2]], none)
-        return at[:-1]
+        return at[:-1], n
+
+    def _short(self, chunk: str, key: int) -> list[int]:
+        return self._merged(chunk, self._skips(key))[0]
 
     def _long(self, chunk: str, key: int) -> list[int]:
         """The same with a heap as the agenda, for chunks of any length."""
-        rank, n = self.rank, len(chunk)
+        rank, n, skips, drawn = self.rank, len(chunk), self._skips(key), 0
+        skip = next(skips, -1)
         ends = list(range(1, n + 1))  # by start: the end of the symbol that starts there; 0: merged away
         before = list(range(-1, n - 1))  # by start: the start of the symbol before
         agenda = [(rank[chunk[i:i + 2]], i, i + 1, i + 2) for i in range(n - 1) if chunk[i:i + 2] in rank]
@@ -110,7 +148,9 @@ class Pieces:
             _, i, mid, end = heapq.heappop(agenda)
             if ends[i] != mid or ends[mid] != end:
                 continue  # one of the two has since merged
-            if self.bound and self._skipped(key, i, mid, end):
+            drawn += 1
+            if drawn - 1 == skip:
+                skip = next(skips, -1)
                 continue
             ends[i], ends[mid] = end, 0
             if end < n:
@@ -122,30 +162,57 @@ class Pieces:
                 heapq.heappush(agenda, (r, p, i, end))
         return [i for i in range(n) if ends[i]]
 
-    def encode(self, text: str, variant: int = 0) -> list[int]:
-        """Piece ids of a whole text; an empty one has none."""
+    def _node(self, chunk: str, skipped: tuple[int, ...] = ()) -> list:
+        """How many candidates come up in a chunk when those are skipped, its ids, and by a further skip what follows."""
+        if not skipped and (len(chunk) > _SHORT or BLANK in chunk):
+            return [float("inf"), None, None]  # not remembered by skips
+        written = chunk.replace(" ", BLANK)
+        starts, n = self._merged(written, iter(skipped))
+        return [n, self._ids(written, starts), None]
+
+    def _kept(self, table: dict, at, node: list) -> list:
+        if self.remembered < _REMEMBERED:  # frequent chunks come early
+            table[at] = node
+            self.remembered += 1
+        return node
+
+    def _dropped(self, chunk: str, node: list, key: int, at: int) -> tuple[int, ...]:
+        """A chunk whose first skip is candidate ``at``."""
+        if node[1] is None:
+            return self._spelled(chunk, key) if BLANK in chunk else self.segment(chunk.replace(" ", BLANK), key)
+        skipped: tuple[int, ...] = ()
+        while at < node[0]:
+            skipped += (at,)
+            if node[2] is None:
+                node[2] = {}
+            child = node[2].get(at)
+            node = child or self._kept(node[2], at, self._node(chunk, skipped))
+            at += 1 + self._jump(key, len(skipped))
+        return node[1]
+
+    def encode(self, text: str, variant: int = 0, doc: str = "") -> list[int]:
+        """Piece ids of a whole text of document ``doc``; an empty one has none."""
         out: list[int] = []
         if not text:
             return out
         known = self.known
-        for chunk in self.chunks.findall(" " + text):
-            at = (variant, chunk)
-            ids = known.get(at)
-            if ids is None:
-                ids = self._spelled(chunk, variant) if BLANK in chunk else self.segment(chunk.replace(" ", BLANK), variant)
-                if len(known) < _REMEMBERED:  # frequent chunks come early
-                    known[at] = ids
-            out.extend(ids)
+        chunks = self.chunks.findall(" " + text)
+        keys, first = self._first(xxhash.xxh64_intdigest(doc.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant & _MASK), len(chunks))
+        for place, (chunk, at) in enumerate(zip(chunks, first)):
+            node = known.get(chunk)
+            if node is None:
+                node = self._kept(known, chunk, self._node(chunk))
+            out += node[1] if at >= node[0] else self._dropped(chunk, node, int(keys[place]), at)
         return out
 
-    def _spelled(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def _spelled(self, chunk: str, key: int) -> tuple[int, ...]:
         """A chunk with a literal U+2581: that in bytes, what is between as chunks of their own."""
         out: list[int] = []
         for k, part in enumerate(chunk.split(BLANK)):
             if k:
                 out.extend(self.byte_ids[b] for b in BLANK.encode())
             if part:
-                out.extend(self.segment(part.replace(" ", BLANK), variant))
+                out.extend(self.segment(part.replace(" ", BLANK), _mixed(key ^ k)))
         return tuple(out)
 
     def decode(self, ids) -> str:
@@ -173,21 +240,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
            seed: int = 42, variants: int = 4, model_path: str = MODEL) -> DataFrame:
     """``keep`` columns, ``variant`` and ``pieces`` (array of ids) for each row.
 
-    Null and empty texts have no pieces; a null id counts as variant 0; repeated rows have equal pieces.
+    Null and empty texts have no pieces; a null id counts as variant 0 and as the empty id; repeated rows have equal pieces.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_proto(model_path))
     variant = F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants)), F.lit(0)).cast("int")
-    chosen = docs.select(F.col(text_col).cast("string").alias("_text"), *(keep or []), F.when(F.col(id_col).isNull(), 0).otherwise(variant).alias("variant"))
-    out = T.StructType([*chosen.schema.fields[1:], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    doc = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_doc")
+    chosen = docs.select(F.col(text_col).cast("string").alias("_text"), doc, *(keep or []), F.when(F.col(id_col).isNull(), 0).otherwise(variant).alias("variant"))
+    out = T.StructType([*chosen.schema.fields[2:], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         pieces = _pieces(shared.value, dropout, seed)
         for b in batches:
-            found = [np.array(pieces.encode(t or "", v), dtype=np.int32) for t, v in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            found = [np.array(pieces.encode(t or "", v, d), dtype=np.int32) for t, d, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], out.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], lists], out.names)
 
     return chosen.mapInArrow(run, out)
 
