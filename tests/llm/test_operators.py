@@ -272,7 +272,6 @@ def test_pieces_round_trip(odd, docs):
         assert drops.encode(t, 2) == piece_dropout.Pieces(proto, 0.3, 1).encode(t, 2)
     word = "internationalization"
     assert len({tuple(drops.encode(word, v)) for v in range(8)}) > 3
-    assert drops._short("thereon" * 6, 99) == drops._long("thereon" * 6, 99)
     assert piece_dropout.op6(odd.limit(0)).count() == 0
 
 
