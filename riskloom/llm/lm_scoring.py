@@ -7,10 +7,11 @@ unigram share. So the probabilities of all words, unseen ones included, sum to o
 The class after two others has logit ``(P1[w1] + P2[w2]) . Q[w] + b[w]``. Exponentials of a sum factor, so the
 normalisers of all pairs of contexts are one matrix product: ``(E1 * exp(b)) @ E2.T`` with ``Ek = exp(Pk @ Q.T)``.
 
-Counts cover every training text. A pilot model is trained on a bounded share of the texts; then each partition
-goes on from it over all of its own training texts, and the models are averaged by tokens. Only the tables of the
-model (bounded by ``CLASSES``) and the ``HEAD`` most frequent words reach the driver; counts of all rarer words
-meet the texts that have them in a join.
+Counts cover every training text. A pilot model is trained on a bounded share of the texts; then each shard of
+``SHARD_BYTES`` or so goes on from it over all of its own training texts, and the models are averaged by tokens. Shards are
+dealt and ordered by hashes, and averages summed as whole numbers, so a table gives the same model however it is partitioned. Only the
+tables of the model (bounded by ``CLASSES``), the end and the ``HEAD`` most frequent words reach the driver; counts of all
+rarer words meet the texts that have them in a join.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ WORDS = CLASSES - BUCKETS
 HEAD = 131_072
 NOISE, STEP = 48, 2048
 RATE, EPOCHS = 0.1, 3
+SHARD_BYTES = 16_000_000
+_FIXED = 65536.0  # summed values are whole multiples of one over this
 
 
 @dataclass
@@ -135,73 +138,86 @@ def class_ids(text: bytes, at: dict[bytes, int]) -> np.ndarray:
     return np.array([end, end, *ids, end], dtype=np.int32)
 
 
-def _trained(texts: DataFrame, shared, log_share: np.ndarray, init: Params, rate: float, step: int = STEP, epochs: int = 1) -> DataFrame:
-    """Each partition's model after all its texts, as rows ``r, n, v`` weighted by its tokens."""
+def _sharded(texts: DataFrame, shards: int) -> DataFrame:
+    """``text, shard`` of ``text, h``: dealt and ordered by the hash, so that neither depends on the partitions of the table."""
+    dealt = texts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    return dealt.repartition("shard").sortWithinPartitions("shard", "h", "text").select("text", "shard")
+
+
+def _trained(sharded: DataFrame, shared, log_share: np.ndarray, init: Params, rate: float, epochs: int = 1) -> DataFrame:
+    """Each shard's model after all its texts, as rows ``r, n, v`` weighted by its tokens."""
     size = 2 * (CLASSES * 3 + CLASSES // DIM)
+    names = ["r", "n", *(f"v{k}" for k in range(DIM))]
 
     def run(batches):
-        if epochs > 1:
-            batches = list(batches)  # only of bounded texts
         at = {w: i if i < WORDS else bucket_class(w) for i, w in enumerate(shared.value)}
-        p = Params(init.p1.copy(), init.p2.copy(), init.q.copy(), init.b.copy(), [s.copy() for s in init.squares])
-        rng = np.random.default_rng(7)
         cumulative = np.cumsum(np.exp(log_share.astype(np.float64)))
-        waiting, have, tokens = [], 0, 0
-
-        def learn(ids_of_texts):
-            w1 = np.concatenate([i[1:-1] for i in ids_of_texts])
-            w2 = np.concatenate([i[:-2] for i in ids_of_texts])
-            w = np.concatenate([i[2:] for i in ids_of_texts])
-            order = rng.permutation(len(w))
-            for s in range(0, len(w), step):
-                o = order[s:s + step]
-                noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), CLASSES - 1)
-                nce_step(p, w1[o], w2[o], w[o], noise, log_share, rate)
-            return len(w)
-
-        for b in itertools.chain.from_iterable(itertools.repeat(batches, epochs)):
-            for t in text_bytes(b.column(0)):
+        rows = ((k, t) for b in batches for k, t in zip(b.column(1).to_pylist(), text_bytes(b.column(0))))
+        for _, own in itertools.groupby(rows, key=lambda row: row[0]):
+            p = Params(init.p1.copy(), init.p2.copy(), init.q.copy(), init.b.copy(), [s.copy() for s in init.squares])
+            rng = np.random.default_rng(7)
+            waiting, have, tokens = [], 0, 0
+
+            def learn(ids_of_texts):
+                w1 = np.concatenate([i[1:-1] for i in ids_of_texts])
+                w2 = np.concatenate([i[:-2] for i in ids_of_texts])
+                w = np.concatenate([i[2:] for i in ids_of_texts])
+                order = rng.permutation(len(w))
+                for s in range(0, len(w), STEP):
+                    o = order[s:s + STEP]
+                    noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), CLASSES - 1)
+                    nce_step(p, w1[o], w2[o], w[o], noise, log_share, rate)
+                return len(w)
+
+            if epochs > 1:
+                own = list(own)  # only of bounded texts
+            for _, t in itertools.chain.from_iterable(itertools.repeat(own, epochs)):
                 waiting.append(class_ids(t, at))
                 have += len(waiting[-1])
                 if have > 262144:
                     tokens += learn(waiting)
                     waiting, have = [], 0
-        if waiting:
-            tokens += learn(waiting)
-        if tokens:
-            flat = np.concatenate([x.reshape(-1, DIM) for x in (p.p1, p.p2, p.q, p.b, *p.squares)]).astype(np.float64) * tokens
-            names = ["r", "n", *(f"v{k}" for k in range(DIM))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, tokens, dtype=np.int64)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(DIM))], names)
+            if waiting:
+                tokens += learn(waiting)
+            if tokens:
+                flat = np.concatenate([x.reshape(-1, DIM) for x in (p.p1, p.p2, p.q, p.b, *p.squares)]).astype(np.float64)
+                fixed = np.rint(flat * (tokens * _FIXED)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, tokens, dtype=np.int64)), *(pa.array(np.ascontiguousarray(fixed[:, k])) for k in range(DIM))], names)
 
-    return texts.mapInArrow(run, "r int, n long, " + ", ".join(f"v{k} double" for k in range(DIM)))
+    return sharded.mapInArrow(run, "r int, n long, " + ", ".join(f"v{k} long" for k in range(DIM)))
 
 
 def _averaged(rows: DataFrame, init: Params) -> Params:
-    got = rows.groupBy("r").agg(F.sum("n").alias("n"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM))).orderBy("r").collect()
+    mean = lambda k: (F.sum(F.col(f"v{k}").cast("decimal(19,0)")).cast("double") / F.sum("n")).alias(f"v{k}")
+    got = rows.groupBy("r").agg(*(mean(k) for k in range(DIM))).orderBy("r").collect()
     if not got:
         return init
-    flat = np.array([[r[f"v{k}"] / r["n"] for k in range(DIM)] for r in got], dtype=np.float32)
+    flat = np.array([[r[f"v{k}"] / _FIXED for k in range(DIM)] for r in got], dtype=np.float32)
     c, end = CLASSES, CLASSES * 3 + CLASSES // DIM
     tables = lambda x: [x[:c], x[c:2 * c], x[2 * c:3 * c], x[3 * c:].reshape(-1)]
     return Params(*tables(flat[:end]), tables(flat[end:]))
 
 
-def train(docs: DataFrame, text_col: str = "text", pilot_bytes: int = 6_000_000, head: int = HEAD) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", pilot_bytes: int = 6_000_000, head: int = HEAD,
+          shard_bytes: int = SHARD_BYTES) -> tuple[Model, DataFrame]:
     """The model learnt from all texts of ``docs``, and the stored counts of all words (``word, c``).
 
-    ``pilot_bytes`` bounds the texts that the pilot is trained on (an even share by hash of the text).
+    ``pilot_bytes`` bounds the texts that the pilot is trained on (an even share by hash of id and text). The end is a class of
+    its own however rare it is. Null texts are empty ones; ids only spread equal texts over the shards.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own_text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashed = docs.select(own_text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), own_text).alias("h"))
+    texts = hashed.select("text")
     vocabulary = stored(word_counts(texts), "word-counts")
     known = vocabulary.orderBy(F.desc("c"), "word").limit(head).collect()
     known.sort(key=lambda r: (-r["c"], r["word"]))
     words, counts = [r["word"].encode() for r in known], np.array([r["c"] for r in known], dtype=np.int64)
-    if END in words:  # the end is always a class of its own
-        i = words.index(END)
-        words.insert(0, words.pop(i))
-        counts = np.concatenate([counts[i:i + 1], np.delete(counts, i)])
+    ends = vocabulary.where("word = ''").first()
+    if ends is not None:  # the end is always a class of its own, even where more words than the head holds are more frequent
+        others = [i for i, w in enumerate(words) if w != END]
+        words, counts = [END, *(words[i] for i in others)], np.concatenate([[ends["c"]], counts[others]])
     own = words[:WORDS]
     classed = vocabulary.withColumn("k", F.expr(_BUCKET_SQL)).where(~F.col("word").isin([w.decode() for w in own[:1]]))
     listed = docs.sparkSession.createDataFrame([(w.decode(),) for w in own[1:]], "word string")
@@ -217,14 +233,14 @@ def train(docs: DataFrame, text_col: str = "text", pilot_bytes: int = 6_000_000,
     freq = n.copy()
     freq[:len(own)] = counts[:len(own)]
     log_share = np.log((freq + 0.5) / (freq + 0.5).sum()).astype(np.float32)
-    sized = texts.withColumn("b", F.octet_length("text"))
-    total_bytes = sized.agg(F.sum("b")).first()[0] or 1
-    share = int(1_000_000 * min(1.0, pilot_bytes / max(1, total_bytes)))
-    pilot_texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < max(share, 1)).repartition(1)  # bounded by pilot_bytes
+    total_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    share = max(int(1_000_000 * min(1.0, pilot_bytes / total_bytes)), 1)
+    pilot_texts = _sharded(hashed.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share), 1)  # bounded by pilot_bytes
     shared = docs.sparkSession.sparkContext.broadcast(words)
     pilot = start(log_share)
-    pilot = _averaged(_trained(pilot_texts, shared, log_share, pilot, RATE, 2048, EPOCHS), pilot)
-    model.params = _averaged(_trained(texts, shared, log_share, pilot, RATE), pilot)
+    pilot = _averaged(_trained(pilot_texts, shared, log_share, pilot, RATE, EPOCHS), pilot)
+    shards = -(-total_bytes // shard_bytes)
+    model.params = _averaged(_trained(_sharded(hashed, shards), shared, log_share, pilot, RATE), pilot)
     return model, vocabulary
 
 
