@@ -3,10 +3,11 @@
 Features are the character n-grams (4 to 6 code points, lower case) that a text has, hashed to ``2 ** HASH_BITS`` buckets.
 Over the labelled rows Spark counts, for each bucket, the toxic and the other texts that have it. Its log-count
 ratio scales the feature; buckets whose share of toxic texts is no more than chance would give are left out, as
-they only add noise to long texts. A logistic regression on the scaled features then weighs them.
+they only add noise to long texts, and all others stay. A logistic regression on the scaled features, fitted by Spark on sparse
+vectors, then weighs them; the driver holds one weight a bucket.
 
-Bounds, all parameters: labelled rows that are counted (``max_count_rows``), rows that the regression is fitted on
-(``max_fit_rows``), features kept (``max_features``). Every text is scored, whole.
+Bounds, both parameters: labelled rows that are counted (``max_count_rows``) and rows that the regression is fitted on
+(``max_fit_rows``), of distinct ids. Every text is scored, whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,32 +77,40 @@ def _count(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, rounds: int = 400, decay: float = 1e-4):
-    """Logistic regression on scaled binary features by full-batch Adagrad."""
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    col = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
-    w, bias = np.full(len(ratios), 0.05), -1.0
-    gw, gb = np.full(len(ratios), 1e-8), 1e-8
-    for _ in range(rounds):
-        s = np.bincount(row, (w * ratios)[col], minlength=len(rows)) + bias
-        e = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(rows)
-        g = np.bincount(col, e[row], minlength=len(w)) * ratios + decay * w
-        gw += g * g
-        w -= 0.05 * g / np.sqrt(gw)
-        gb += e.sum() ** 2
-        bias -= 0.2 * e.sum() / np.sqrt(gb)
-    return w, bias
+def _vectors(training: DataFrame, buckets: np.ndarray, ratios: np.ndarray) -> DataFrame:
+    """``features`` (a sparse vector of the log-count ratios of the buckets that a text has) and ``y``."""
+    shared = training.sparkSession.sparkContext.broadcast((buckets, ratios))
+    out = T.StructType([T.StructField("features", VectorUDT()), T.StructField("y", T.DoubleType())])
+
+    def run(batches):
+        own, scale = shared.value
+        at = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+        at[own] = np.arange(len(own), dtype=np.int32)
+        for b in batches:
+            found = []
+            for t in _texts(b.column(0)):
+                h = at[ngram_buckets(t)]
+                found.append(np.unique(h[h >= 0]))
+            flat = np.concatenate([np.zeros(0, np.int32), *found])
+            edges = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            vectors = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(len(found), np.int8)), pa.array(np.full(len(found), len(own), np.int32)), pa.ListArray.from_arrays(edges, pa.array(flat)),
+                 pa.ListArray.from_arrays(edges, pa.array(scale[flat]))], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([vectors, b.column(1).cast(pa.float64())], out.names)
+
+    return training.select("text", "toxic").mapInArrow(run, out)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          held_out: tuple[int, int] | None = (3, 1), max_count_rows: int = 200_000, max_fit_rows: int = 12_000,
-          max_features: int = 4_096, least_z: float = 4.0, least_texts: int = 5) -> Model:
+          held_out: tuple[int, int] | None = (3, 1), max_count_rows: int = 200_000, max_fit_rows: int = 20_000,
+          least_z: float = 4.0, least_texts: int = 5, rounds: int = 60, decay: float = 1e-4, fit_tasks: int = 12) -> Model:
     """Learns from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
     ``held_out`` (modulus, remainder) keeps rows out by the crc32 of the id's text. Other labels and null ids are
     skipped; of several labels for one id the highest counts. Where more rows are labelled than a bound allows, an even
-    share by hash of the id is taken. With one class only, or no labelled row, the model has no features and its
-    intercept says so (score 0 without toxic rows, else near 1).
+    share by hash of the id is taken, and of rows with one id the fit and the counts take all. With one class only, or no
+    labelled row, the model has no features and its intercept says so (score 0 without toxic rows, else near 1); without any
+    telling feature the intercept is the classes' log odds.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -125,28 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     both = F.col("pos") + F.col("neg")
     z = (F.col("pos") - both * rate) / F.sqrt(both * rate * (1 - rate) * (1.0 - both / (pos + neg) * 0.999))
     ratio = F.log((F.col("pos") + 1.0) / (pos + 2.0)) - F.log((F.col("neg") + 1.0) / (neg + 2.0))
-    chosen = (
-        counts.where(both >= least_texts).select("bucket", ratio.alias("ratio"), F.abs(z).alias("z"))
-        .where(F.col("z") >= least_z).orderBy(F.desc("z"), "bucket").limit(max_features).collect()
-    )
-    buckets = np.array([r["bucket"] for r in chosen], dtype=np.int32)
-    ratios = np.array([r["ratio"] for r in chosen])
-    order = np.argsort(buckets)
-    buckets, ratios = buckets[order], ratios[order]
-
-    def present(batches):
-        at = np.full(1 << HASH_BITS, -1, dtype=np.int32)
-        at[buckets] = np.arange(len(buckets), dtype=np.int32)
-        for b in batches:
-            found = []
-            for t in _texts(b.column(0)):
-                h = at[ngram_buckets(t)]
-                found.append(np.unique(h[h >= 0]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["f", "toxic"])
-
-    rows = training.where(share(max_fit_rows)).select("text", "toxic").mapInArrow(present, "f binary, toxic int").collect()
-    w, bias = _fit([np.frombuffer(r["f"], dtype=np.int32) for r in rows], np.array([r["toxic"] for r in rows], dtype=float), ratios)
-    return Model(buckets, w * ratios, float(bias))
+    chosen = counts.where(both >= least_texts).where(F.abs(z) >= least_z).select("bucket", ratio.alias("ratio")).toArrow()  # 2 ** HASH_BITS rows at most
+    order = np.argsort(chosen.column("bucket").to_numpy())
+    buckets, ratios = chosen.column("bucket").to_numpy()[order].astype(np.int32), chosen.column("ratio").to_numpy()[order].astype(float)
+    if not len(buckets):
+        return Model(buckets, np.zeros(0), float(np.log(pos / neg)))
+    rows = stored(_vectors(training.where(share(max_fit_rows)).coalesce(fit_tasks), buckets, ratios), "toxicity-vectors")
+    if len(rows.select("y").distinct().limit(2).collect()) < 2:  # so few rows that a class is missing among those of the fit
+        rows = stored(_vectors(training.coalesce(fit_tasks), buckets, ratios), "toxicity-vectors")
+    fitted = LogisticRegression(labelCol="y", maxIter=rounds, regParam=decay, standardization=False).fit(rows)
+    return Model(buckets, fitted.coefficients.toArray() * ratios, float(fitted.intercept))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -154,12 +153,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(text_col).cast("string").alias("_text"), *(keep or []))
     out = T.StructType([*chosen.schema.fields[1:], T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        own = shared.value
         table = np.zeros(1 << HASH_BITS, dtype=np.float32)
-        table[model.buckets] = model.weights
+        table[own.buckets] = own.weights
         for b in batches:
-            s = np.full(b.num_rows, model.bias)
+            s = np.full(b.num_rows, own.bias)
             for k, t in enumerate(_texts(b.column(0))):
                 h = ngram_buckets(t)
                 h = h[table[h] != 0]
