@@ -1,7 +1,7 @@
 """Personal data by weak supervision, with DataFrame and SQL functions only.
 
-Four base kinds are found by their patterns. Looser patterns propose further spans; six labelers vote on
-each of these (a strict regex, a gazetteer of cue words, and four on context and content). How often each pattern of
+Four base kinds are found by their patterns. Looser patterns and gazetteers of names and streets propose further spans; six
+labelers vote on each of these (a strict regex, a gazetteer of cue words, and four on context and content). How often each pattern of
 votes occurs is counted over all texts; expectation-maximisation on these counts (at most ``2 ** 6`` for each
 family) estimates the labelers' reliabilities, and the posteriors weigh the training of a naive Bayes
 classifier over the spans' shape. Spans that it accepts are added to the base ones.
@@ -17,32 +17,59 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: In the order that breaks ties between spans with one start.
-KINDS = (*BASE_KINDS, "mail_variant", "number", "secret")
+KINDS = (*BASE_KINDS, "mail_variant", "number", "secret", "person", "address")
+FAMILIES = KINDS[len(BASE_KINDS):]
 
 # Base patterns. A run of characters is entered at its start or where the last match ended, and never given back: the
 # same leftmost matches as without, in time linear in the text.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-# Proposals: bracketed mail addresses, groups of digits, long keys.
-MAIL_VARIANT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[(](?:dot|DOT|\.)[\])])\x20?[A-Za-z0-9-]{1,63}+)+"
-NUMBER = r"(?<![0-9A-Za-z.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])"
-SECRET = r"(?<![0-9A-Za-z_+/-])[0-9A-Za-z_+/-]{20,200}+(?![0-9A-Za-z_+/-])"
+# Given names, titles and words of streets that names and addresses are known by.
+GIVEN_NAMES = (
+    "James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph", "Jessica",
+    "Thomas", "Sarah", "Charles", "Karen", "Daniel", "Lisa", "Matthew", "Nancy", "Anthony", "Emily", "Steven", "Laura", "Paul", "Anna", "Andrew", "Rachel", "Kevin", "Maria",
+    "Hans", "Peter", "Klaus", "Jürgen", "Stefan", "Ursula", "Monika", "Petra", "Sabine", "Renate", "Wolfgang", "Katharina", "Jean", "Pierre", "Michel", "Philippe", "Nicolas",
+    "Marie", "Nathalie", "Isabelle", "Sylvie", "Catherine", "François", "Émilie", "José", "Antonio", "Manuel", "Francisco", "Juan", "Carmen", "Josefa", "Isabel", "Ana", "Pilar",
+    "Rahul", "Amit", "Priya", "Anita", "Sunil", "Sanjay", "Rajesh", "Deepak", "Pooja", "Neha", "Wei", "Li", "Yuki", "Hiroshi", "Mohammed", "Ahmed", "Fatima", "Aisha", "Olga", "Ivan",
+)
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Shri", "Smt")
+STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Place", "Square", "Terrace", "Way", "Close", "Crescent")
+
+# Proposals: bracketed mail addresses, groups of digits, long keys, names after a title or with a known given name, streets with a number.
+MAIL_VARIANT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT|\.)[\])])\x20?[A-Za-z0-9-]++)++"
+NUMBER = r"(?<![0-9A-Za-z.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z_+/-])[0-9A-Za-z_+/-]{20,}+(?![0-9A-Za-z_+/-])"
+_CAPITAL = r"[\x20]\p{Lu}[\p{Ll}\x27-]++"
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.?(?:{_CAPITAL}){{1,3}}|(?:{'|'.join(GIVEN_NAMES)})(?:\x20\p{{Lu}}\.)?(?:{_CAPITAL}){{1,2}})(?![\p{{L}}\p{{N}}])"
+ADDRESS = rf"(?<![\p{{L}}\p{{N}}.,])(?:[0-9]{{1,5}}[A-Za-z]?(?:{_CAPITAL}){{1,3}}\x20(?:{'|'.join(STREETS)})(?![\p{{L}}\p{{N}}])|\p{{Lu}}\p{{Ll}}+(?:straße|strasse|weg|platz|gasse|allee)\x20[0-9]{{1,4}}[a-z]?(?![\p{{L}}\p{{N}}])|[0-9]{{1,4}},?\x20(?:rue|avenue|boulevard|place)(?:\x20(?:de|du|des|la|le|l\x27))*+{_CAPITAL}|(?:Calle|Avenida|Plaza)(?:\x20(?:de|del|la|los|las))*+{_CAPITAL},?\x20[0-9]{{1,4}}(?![\p{{L}}\p{{N}}]))"
+PATTERNS = {"mail_variant": MAIL_VARIANT, "number": NUMBER, "secret": SECRET, "person": PERSON, "address": ADDRESS}
+#: A cheap test that a text can have a proposal at all.
+GATES = {
+    "mail_variant": r"[\[(](?:at|AT|@)[\])]", "number": r"[0-9](?:[\x20().-]{0,2}[0-9]){6}", "secret": r"[0-9A-Za-z_+/-]{20}",
+    "person": rf"(?<!\p{{L}})(?:{'|'.join((*TITLES, *GIVEN_NAMES))})[.\x20]", "address": rf"[0-9][A-Za-z]?,?\x20(?:\p{{Lu}}|rue|av|bo|pl)|(?:straße|strasse|weg|platz|gasse|allee)\x20[0-9]|Calle|Avenida|Plaza",
+}
 
-#: Cue words, by family.
+#: Cue words before a span, by family.
 GAZETTEER = {
     "mail_variant": "mail|contact|write|reach|kontakt|correo|courriel",
     "number": "phone|tel|mobile|cell|call|fax|ssn|social security|passport|account|iban|konto|cuenta|compte|handy|patient|licen[cs]e no",
     "secret": "token|secret|passw|pwd|key|auth|bearer|credential",
+    "person": "name|dear|contact|signed|regards|by|from|patient|customer|attn|nombre|nom|herr|frau|with|am|is",
+    "address": "address|lives? (?:at|in)|resid|street|ship(?:ped)? to|deliver(?:ed)? to|home|office|adresse|dirección|wohn|located|at",
 }
 STRICT = {
     "mail_variant": r"[A-Za-z]{2,10}$",
     "number": r"^(?:\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$",
-    "secret": r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|gh[pousr])[_-][0-9A-Za-z_-]{16,})$",
+    "secret": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|pk|gh[pousr])[_-][0-9A-Za-z_-]{16,})$",
+    "person": rf"^(?:{'|'.join(TITLES)})\.?\x20|^(?:{'|'.join(GIVEN_NAMES)})\x20",
+    "address": r"^[0-9].*\p{L}{2,}$|[0-9][a-z]?$",
 }
 LABELERS = ("strict", "gazetteer", "assignment", "enclosed", "size", "variety")
 _CONTEXT = 40
@@ -58,6 +85,7 @@ def _none(kind: str) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
+_CANDIDATE = "array<struct<start:int,end:int,family:string,votes:int,size:string,mix:string,before:string,after:string>>"
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
@@ -132,13 +160,6 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Proposed spans with their votes and shape: ``array<struct<start, end, family, votes, size, mix, before, after>>``."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    gates = {
-        "mail_variant": t.rlike(r"[\[(](?:at|AT|@)[\])]"),
-        "number": t.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"),
-        "secret": t.rlike(r"[0-9A-Za-z_+/-]{20}"),
-    }
-    patterns = {"mail_variant": MAIL_VARIANT, "number": NUMBER, "secret": SECRET}
-
     def judged(family: str):
         def one(s: Column) -> Column:
             m = s["m"]
@@ -148,8 +169,8 @@ def candidates(text: Column) -> Column:
             def with_context(b: Column, a: Column) -> Column:
                 n, n_digits = F.length(m), F.length(_digits(m))
                 kinds = F.size(F.array_distinct(F.split(F.lower(m), "")))
-                size = {"number": n_digits.between(9, 15), "secret": n.isin(32, 40, 64) | (n >= 48), "mail_variant": n.between(10, 80)}[family]
-                variety = {"number": F.size(F.array_distinct(F.split(_digits(m), ""))) >= 5, "secret": kinds >= 12, "mail_variant": kinds >= 8}[family]
+                size = {"number": n_digits.between(9, 15), "secret": n.isin(32, 40, 64) | (n >= 48), "mail_variant": n.between(10, 80), "person": n.between(7, 40), "address": n.between(8, 50)}[family]
+                variety = {"number": F.size(F.array_distinct(F.split(_digits(m), ""))) >= 5, "secret": kinds >= 12, "mail_variant": kinds >= 8, "person": kinds >= 6, "address": kinds >= 7}[family]
                 votes = [
                     m.rlike(STRICT[family]), F.lower(b).rlike(rf"(?:{GAZETTEER[family]})[^.\n]{{0,24}}$"), b.rlike(r"[:=][\x20\"']*$"),
                     b.rlike("[\"'(<\\[]$") & a.rlike("^[\"')>\\]]"), size, variety,
@@ -170,12 +191,11 @@ def candidates(text: Column) -> Column:
         return one
 
     found = []
-    for family in ("mail_variant", "number", "secret"):
-        spans = matches(t, patterns[family])
+    for family in FAMILIES:
+        spans = matches(t, PATTERNS[family])
         if family == "secret":
             spans = F.filter(spans, lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))
-        kind = "array<struct<start:int,end:int,family:string,votes:int,size:string,mix:string,before:string,after:string>>"
-        found.append(F.when(gates[family], F.transform(spans, judged(family)).cast(kind)).otherwise(_none(kind)))
+        found.append(F.when(t.rlike(GATES[family]), F.transform(spans, judged(family)).cast(_CANDIDATE)).otherwise(_none(_CANDIDATE)))
     return F.concat(*found)
 
 
@@ -205,9 +225,14 @@ def posterior(votes: int, prior: float, yes: list[float], no: list[float]) -> fl
 
 def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """Log-odds weights of the span classifier, by ``family`` and ``family|feature``, from all texts of ``docs``."""
+    return learn(docs.select(candidates(F.col(text_col)).alias("candidates")))
+
+
+def learn(proposed: DataFrame) -> dict[str, float]:
+    """The weights from ``candidates``, the proposals of all texts."""
     shape = ["size", "mix", "before", "after"]
     rows = (
-        docs.select(F.explode(candidates(F.col(text_col))).alias("c")).select("c.family", "c.votes", *(f"c.{x}" for x in shape))
+        proposed.select(F.explode("candidates").alias("c")).select("c.family", "c.votes", *(f"c.{x}" for x in shape))
         .groupBy("family", "votes", *shape).count().collect()
     )
     patterns: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
@@ -231,18 +256,17 @@ def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return weights
 
 
-def _accepted(text: Column, base: Column, weights: dict[str, float]) -> Column:
-    """Proposed spans that the classifier accepts and that no base span overlaps."""
+def _accepted(base: Column, proposed: Column, weights: dict[str, float]) -> Column:
+    """The base spans and those proposals that the classifier accepts and that no base span overlaps."""
     if not weights:
         return base
     table = F.create_map(*(x for key, w in sorted(weights.items()) for x in (F.lit(key), F.lit(float(w)))))
     weight = lambda key: F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, v: k == key)), F.lit(0)), F.lit(0.0))
-    families = {f: KINDS.index(f) for f in ("mail_variant", "number", "secret")}
 
     def kind_no(c: Column) -> Column:
-        no = F.lit(families["secret"])
-        for f in ("mail_variant", "number"):
-            no = F.when(c["family"] == f, F.lit(families[f])).otherwise(no)
+        no = F.lit(KINDS.index(FAMILIES[-1]))
+        for f in FAMILIES[:-1]:
+            no = F.when(c["family"] == f, F.lit(KINDS.index(f))).otherwise(no)
         return no
 
     def odds(c: Column) -> Column:
@@ -251,25 +275,26 @@ def _accepted(text: Column, base: Column, weights: dict[str, float]) -> Column:
             total = total + weight(F.concat(c["family"], F.lit("|"), c[x]))
         return total
 
-    def together(b: Column) -> Column:
-        more = F.filter(candidates(text), lambda c: ~F.exists(b, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])) & (odds(c) > 0))
-        added = F.transform(more, lambda c: F.struct(c["start"].alias("start"), kind_no(c).alias("kind_no"), c["end"].alias("end")))
-        return F.sort_array(F.concat(b, added))
-
-    return _let(base, together)
+    more = F.filter(proposed, lambda c: ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])) & (odds(c) > 0))
+    added = F.transform(more, lambda c: F.struct(c["start"].alias("start"), kind_no(c).alias("kind_no"), c["end"].alias("end")))
+    return F.sort_array(F.concat(base, added))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
     """``id, base, spans`` for each row (arrays of ``start, kind_no, end`` in code points, by start, then kind); ``keep``
-    names further columns to pass on.
+    names further columns to pass on. Without ``weights`` they are learnt from the proposals of all rows, which are written once
+    beside the columns that are passed on.
 
     Null texts count as empty and have no spans. Null ids and repeated rows stay as they are; clashing names of other
     columns do not matter, as only the named ones are read. An empty table gives an empty table.
     """
-    weights = train(docs, text_col) if weights is None else weights
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    both = _let(base_spans(text), lambda b: F.struct(b.alias("base"), _accepted(text, b, weights).alias("spans")))
-    return docs.select(F.col(id_col).alias("id"), *(keep or []), both.alias("_found")).select("id", *(keep or []), "_found.base", "_found.spans")
+    proposals = candidates(text) if weights is None or weights else _none(_CANDIDATE)
+    found = docs.select(F.col(id_col).alias("id"), *(keep or []), F.struct(base_spans(text).alias("base"), proposals.alias("candidates")).alias("_found"))
+    if weights is None:
+        found = stored(found, "pii-candidates")
+        weights = learn(found.select("_found.candidates"))
+    return found.select("id", *(keep or []), F.col("_found.base"), _accepted(F.col("_found.base"), F.col("_found.candidates"), weights).alias("spans"))
 
 
 def spelled(spans: Column) -> Column:
