@@ -2,11 +2,11 @@
 
 A classifier learnt from a labelled table gives each document posteriors over the domains: naive Bayes over hashed
 byte 4-grams, its per-byte scores calibrated by a softmax regression on labelled rows that naive Bayes has not seen. Then
-nonnegative rates are fitted, one for each document, so that the expected domain totals of tokens
+rates from zero to one are fitted, one for each document, so that the expected domain totals of tokens
 ``sum(rate * tokens * posterior)`` meet targets, by projected-gradient least squares: each round Spark sums the
-totals at the current rates, and the rates take a step against the residual and are cut off at zero. Steps are scaled by
-the second moments of the posteriors of documents whose rates are positive, so few rounds are enough. The rates depend
-on the posteriors and a few numbers a round only; they are computed where the documents are.
+totals at the current rates, and every rate takes a step down the gradient of the squared residuals (a document's part of the
+gradient is divided by its tokens) and is cut off at zero and one, with Nesterov's momentum between the rounds. So the
+rates depend on the posteriors and a few numbers a round only; they are computed where the documents are.
 """
 
 from __future__ import annotations
@@ -128,67 +128,76 @@ def posteriors(docs: DataFrame, model: Domains, text_col: str = "text", keep: li
     return chosen.mapInArrow(run, out)
 
 
-def _rate(start: float, steps: list[np.ndarray]) -> Column:
-    """The rate after the steps, each cut off at zero."""
-    r = F.lit(float(start))
-    for v in steps:
-        move = sum((F.get("p", F.lit(k)) * float(x) for k, x in enumerate(v)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+def _rates(start: float, steps: list[list[float]]) -> Column:
+    """A struct of the rate after the steps, ``r``, and the point ``y`` from which the next one goes.
 
+    A step has a number for each domain and, last, how far the next point goes on in the direction of the move.
+    """
+    state = lambda r, y: F.struct(r.alias("r"), y.alias("y"))
+    begin = state(F.lit(float(start)), F.lit(float(start)))
+    if not steps:
+        return begin
+
+    def step(at: Column, v: Column) -> Column:
+        k = len(steps[0]) - 1
+        down = sum((F.get("p", F.lit(i)) * F.get(v, F.lit(i)) for i in range(k)), F.lit(0.0))
+        cut = F.greatest(F.lit(0.0), F.least(F.lit(1.0), at["y"] - down))
+        return F.get(F.transform(F.array(cut), lambda r: state(r, r + F.get(v, F.lit(k)) * (r - at["r"]))), F.lit(0))
+
+    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in v)) for v in steps)), begin, step)
 
-def fit_rates(members: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 1e-6) -> tuple[Column, list[float]]:
+
+def fit_rates(members: DataFrame, targets: list[float], rounds: int = 80, tolerance: float = 1e-3, patience: int = 6) -> tuple[Column, list[float]]:
     """The rate as an expression over ``p``, and the relative residuals that are left.
 
-    ``members`` has ``tokens`` and ``p``; ``targets`` are the wanted totals of tokens by domain. A domain that no document
-    has any share of keeps its whole residual.
+    ``members`` has ``tokens`` and ``p``; ``targets`` are the wanted totals of tokens by domain. Minimised is the sum of squared
+    residuals, each over its target. The best rates of all rounds are returned; the fit ends within the tolerance, or when
+    ``patience`` rounds gain less than a hundredth. Targets out of reach (for rates of one at most, or of a domain that no
+    document has any share of) leave a residual.
     """
     k = len(targets)
-    names = [(i, j) for i in range(k) for j in range(i, k)]
+    wanted = np.array(targets, dtype=float)
+    weight = 1.0 / np.maximum(wanted, 1.0)
     p = lambda i: F.get("p", F.lit(i))
-
-    def sums(steps: list[np.ndarray], start: float):
-        rated = members.where("tokens > 0").withColumn("r", _rate(start, steps))
-        live = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
-        row = rated.agg(
-            *(F.sum(F.col("r") * F.col("tokens") * p(i)).alias(f"t{i}") for i in range(k)),
-            *(F.sum(live * p(i) * p(j)).alias(f"m{i}_{j}") for i, j in names),
-        ).first()
-        t = np.array([row[f"t{i}"] or 0.0 for i in range(k)])
-        m = np.zeros((k, k))
-        for i, j in names:
-            m[i, j] = m[j, i] = row[f"m{i}_{j}"] or 0.0
-        return t, m
-
-    wanted, steps = np.array(targets, dtype=float), []
-    whole, _ = sums([], 1.0)
+    live = members.where("tokens > 0")
+    pairs = [(i, j) for i in range(k) for j in range(k)]
+    row = live.agg(*(F.sum(F.col("tokens") * p(i)).alias(f"t{i}") for i in range(k)), *(F.sum(F.col("tokens") * p(i) * p(j)).alias(f"m{i}_{j}") for i, j in pairs)).first()
+    whole = np.array([row[f"t{i}"] or 0.0 for i in range(k)])
     if not whole.sum():
         return F.lit(0.0), [1.0 if w else 0.0 for w in targets]
-    start = float(wanted.sum() / whole.sum())
-    scale = max(wanted.sum(), 1.0)
-    best: tuple[float, list[np.ndarray], np.ndarray] | None = None
-    damping = 1.0
+    moments = np.array([row[f"m{i}_{j}"] or 0.0 for i, j in pairs]).reshape(k, k) * np.sqrt(weight)[:, None] * np.sqrt(weight)
+    steepest = float(np.linalg.eigvalsh(moments).max())  # the curvature: steps of one over it never overshoot
+
+    def residuals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        at = live.withColumn("_at", _rates(start, steps))
+        got = at.agg(*(F.sum(F.col(f"_at.{x}") * F.col("tokens") * p(i)).alias(f"{x}{i}") for x in "ry" for i in range(k))).first()
+        return tuple(np.array([got[f"{x}{i}"] for i in range(k)]) - wanted for x in "ry")
+
+    start, momentum, waited = float(min(1.0, wanted.sum() / whole.sum())), 1.0, 0
+    steps: list[list[float]] = []
+    at_rate, at_point = residuals(steps)
+    cost = lambda e: float((e * e * weight).sum())
+    best = (cost(at_rate), [], at_rate)
     for _ in range(rounds):
-        t, m = sums(steps, start)
-        e = t - wanted
-        size = float(np.abs(e).max() / scale)
-        if best is None or size < best[0]:
-            best = (size, list(steps), e)
-        elif size > best[0]:
-            damping /= 2
-            steps, e = list(best[1]), best[2]
-            m = sums(steps, start)[1]
-        if size <= tolerance or damping < 1e-3:
+        if np.abs(best[2] * weight).max() <= tolerance or waited >= patience:
             break
-        v = np.linalg.lstsq(m + 1e-9 * np.trace(m) * np.eye(k), e, rcond=None)[0]
-        steps = [*steps, damping * v]
-    return _rate(start, best[1]), [float(abs(x) / max(w, 1.0)) for x, w in zip(best[2], wanted)]
-
-
-def target_totals(members: DataFrame, shares: list[float]) -> list[float]:
-    """Targets with the given shares, as large as the domain with the first share allows at rate one."""
+        following = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
+        steps = [*steps, [*(weight * at_point / steepest), (momentum - 1) / following]]
+        momentum, before = following, cost(at_rate)
+        at_rate, at_point = residuals(steps)
+        now = cost(at_rate)
+        waited = 0 if now < 0.99 * best[0] else waited + 1
+        if now < best[0]:
+            best = (now, list(steps), at_rate)
+        if now > before:  # uphill: the next point is the rate itself, without momentum
+            momentum, steps[-1][-1], at_point = 1.0, 0.0, at_rate
+    return _rates(start, best[1])["r"], [float(x) for x in np.abs(best[2]) * weight]
+
+
+def target_totals(members: DataFrame, shares: list[float], part: float = 1.0) -> list[float]:
+    """Targets with the given shares, as large as the domain with the first share allows at rate one, times ``part``."""
     got = members.agg(F.sum(F.col("tokens") * F.get("p", F.lit(0))).alias("t")).first()["t"] or 0.0
-    return [got * s / shares[0] for s in shares]
+    return [part * got * s / shares[0] for s in shares]
 
 
 #: The domains of the labelled table by quality, and the shares of tokens wanted.
@@ -200,19 +209,29 @@ def quality_domain(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, shares: list[float] | None = None, keep: list[str] | None = None) -> tuple[Domains, DataFrame, Column, list[float]]:
-    """The classifier, the stored members (``keep`` columns, ``tokens``, ``p``), the rate over ``p``, and the residuals left."""
+def fit(docs: DataFrame, labels: DataFrame, shares: list[float] | None = None, keep: list[str] | None = None,
+        parts: tuple[float, ...] = (1.0, 0.99, 0.97, 0.94, 0.9, 0.8, 0.6, 0.4), most_left: float = 2e-3) -> tuple[Domains, DataFrame, Column, list[float]]:
+    """The classifier, the stored members (``keep`` columns, ``tokens``, ``p``), the rate over ``p``, and the residuals left.
+
+    Wanted are the largest totals, of ``parts`` of what the first domain has, that rates of one at most can meet; if
+    none can be met, the residuals of the last part say how far off the rates are.
+    """
     model = train(docs, quality_domain(labels), QUALITY_DOMAINS)
     members = stored(posteriors(docs, model, keep=keep), "domain-members")
-    rate, left = fit_rates(members, target_totals(members, shares or QUALITY_SHARES))
+    before = None
+    for part in parts:
+        rate, left = fit_rates(members, target_totals(members, shares or QUALITY_SHARES, part))
+        if max(left) <= most_left or before is not None and max(left) > 0.95 * before:
+            break  # met, or no nearer with smaller totals: the shares themselves are out of reach
+        before = max(left)
     return model, members, rate, left
 
 
 def sampled(docs: DataFrame, labels: DataFrame, keep: list[str], shares: list[float] | None = None) -> DataFrame:
     """``keep`` columns of the rows of ``docs`` that a draw at their rates takes, each once at most.
 
-    The draw is a hash of id and text, so it is the same at every run and repeated rows share their fate; rows with rates
-    of one or more are always taken.
+    The draw is a hash of id and text, so it is the same at every run and repeated rows share their fate; rows with a rate
+    of one are always taken. As no rate exceeds one, the expected totals of what is taken are those that the rates meet.
     """
     model, _, rate, _ = fit(docs, labels, shares)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)) / 1_000_000
@@ -220,6 +239,8 @@ def sampled(docs: DataFrame, labels: DataFrame, keep: list[str], shares: list[fl
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, the posteriors of the two domains of quality, and the fitted rate of each document."""
-    _, members, rate, _ = fit(docs, labels, keep=["doc_id"])
-    return members.select("doc_id", F.col("tokens").alias("n_tokens"), F.get("p", F.lit(0)).alias("p_high"), F.get("p", F.lit(1)).alias("p_low"), rate.alias("rate"))
+    """doc_id, n_tokens, the posteriors of the two domains of quality, the fitted rate of each document, and (the same in
+    every row) the largest relative residual of a domain's total that the fit leaves."""
+    _, members, rate, left = fit(docs, labels, keep=["doc_id"])
+    return members.select(
+        "doc_id", F.col("tokens").alias("n_tokens"), F.get("p", F.lit(0)).alias("p_high"), F.get("p", F.lit(1)).alias("p_low"), rate.alias("rate"), F.lit(float(max(left))).alias("residual"))
