@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -111,46 +110,58 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 # ---- each row beside the next one -------------------------------------------------------------
 
+#: Ranges of ids at most; so many bounds (8 bytes each) go to every task. A larger table has longer ranges instead.
+MOST_RANGES = 1 << 20
+
+
+def _cuts(ids: DataFrame, rows: int, tasks: int = 4096) -> np.ndarray:
+    """Ids that end ranges of about ``rows`` rows: every ``rows``-th of the sorted ids, and the highest one. Only ids are sorted."""
+    n = ids.count()
+    rows = max(rows, n // MOST_RANGES)
+    known = ids.where("id is not null")
+
+    def pick(batches):
+        seen, last = 0, None
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(own):
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(own[(rows - 1 - seen) % rows::rows])], ["id"])
+            seen, last = seen + len(own), own[-1]
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64())], ["id"])
+
+    sorted_ids = known.repartitionByRange(max(1, min(tasks, n // (16 * rows))), "id").sortWithinPartitions("id")
+    return np.unique(sorted_ids.mapInArrow(pick, "id long").toArrow().column("id").to_numpy().astype(np.int64))
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
     """The rows dealt to ranges of descending id, as ``range, helper, id, text``.
 
-    The first row of every range comes once more, as the helper that ends the range before (of the first range: the
-    last one). Only the ranges' bounds and first ids, 4,096 at most, pass through the driver.
+    Every bound is an id of the table, the highest of its range. The rows with it come once more, as helpers that end the
+    range before (of the first range: the last one); null ids are the last range.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(1, min(4096, chosen.count() // rows))
-    cuts = np.zeros(0, dtype=np.int64)
-    if n > 1:
-        got = chosen.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 50_000).alias("p")).first()["p"]
-        cuts = np.unique(np.array(got or [], dtype=np.int64))
-
-    def range_of(ids: pa.Array) -> np.ndarray:
-        """0 for the highest ids; null ids come last."""
-        known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at = len(cuts) - np.searchsorted(cuts, known, side="left")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, at).astype(np.int32)
-
-    def tops(batches):
-        best: dict[int, int | None] = {}
-        for b in batches:
-            for r, i in zip(range_of(b.column(0)).tolist(), b.column(0).to_pylist()):
-                if r not in best or (i is not None and i > best[r]):
-                    best[r] = i
-        yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.int32()), pa.array(best.values(), pa.int64())], ["range", "id"])
-
-    first = chosen.select("id").mapInArrow(tops, "range int, id long").groupBy("range").agg(F.max("id").alias("id")).orderBy("range").collect()
-    before: dict[int | None, list[int]] = defaultdict(list)
-    for k, r in enumerate(first):
-        before[r["id"]].append(first[k - 1]["range"])
+    bounds = _cuts(chosen.select("id"), rows)
+    nulls = chosen.where("id is null").limit(1).count()
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
+    last = len(bounds) if nulls else max(0, len(bounds) - 1)  # the number of the last range
 
     def deal(batches):
+        cuts = shared.value
+        top = len(cuts) - 1  # bounds rise, ranges fall
         for b in batches:
-            ids = b.column(0).to_pylist()
-            helpers = [(i, r) for i, x in enumerate(ids) if x in before for r in before[x]]
-            rows_ = pa.array([*range(len(ids)), *(i for i, _ in helpers)], pa.int64())
-            ranges = np.concatenate([range_of(b.column(0)), np.array([r for _, r in helpers], dtype=np.int32)])
-            helper = np.arange(len(ranges)) >= len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(helper), b.column(0).take(rows_), b.column(1).take(rows_)], ["range", "helper", "id", "text"])
+            missing = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            known = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.minimum(np.searchsorted(cuts, known, side="left"), max(top, 0))
+            own = np.where(missing, last, top - place)
+            ends = cuts[place] == known if len(cuts) else np.zeros(len(known), dtype=bool)
+            again = np.flatnonzero(missing | ends)  # rows that may be the first of their range
+            before = np.where(own[again] == 0, last, own[again] - 1)
+            take = pa.array(np.concatenate([np.arange(len(known)), again]))
+            ranges = np.concatenate([own, before]).astype(np.int32)
+            helper = np.arange(len(ranges)) >= len(known)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges), pa.array(helper), b.column(0).take(take), b.column(1).take(take)], ["range", "helper", "id", "text"])
 
     dealt = chosen.mapInArrow(deal, "range int, helper boolean, id long, text string")
     return dealt.repartition("range").sortWithinPartitions("range", "helper", F.desc_nulls_last("id"), "text")
