@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch. Texts may be long, so a batch is kept small.
 BATCH_ROWS = 512
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_SHARED = "/tmp/checkpoints"
+#: Keys that hold more than one in so many rows are hot: fewer keys than this number, whatever the table.
+HOT = 4096
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that driver and executors share, as the cluster names it; a local session without one gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="riskloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +46,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, total: int, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``classes``, which has one row for each key and, as ``n``, how many rows have the key.
+
+    Keys that hold more than ``total / hot`` rows, fewer than ``hot`` as ``total`` is the number of rows, are broadcast and
+    joined where the rows are; only the others are shuffled, so no task gets the rows of a hot key.
+    """
+    most = total // hot
+    heavy, light = classes.where(F.col("n") > most).drop("n"), classes.where(F.col("n") <= most).drop("n")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows that a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -1,7 +1,7 @@
 """Connected components by alternating star contraction, as DataFrame joins.
 
-Each round is a few shuffles over the links that remain; it ends in a written table. No link or
-component passes through the driver, which reads two numbers a round.
+Each round is a few shuffles over the links that remain; it ends in a written table. Hubs, which may hold most links, are
+met by broadcast (see ``join_hot``). No link or component passes through the driver, which reads a few numbers a round.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_hot, stored
 
 
 def _state(edges: DataFrame):
@@ -17,20 +17,20 @@ def _state(edges: DataFrame):
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every node's larger neighbours are linked to the least of the node and its neighbours; ``n``: rows of ``edges``."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return (
-        both.where("b > a").join(least, "a")
-        .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    )
+    least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    met = join_hot(both.where("b > a"), least, "a", 2 * n)
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every node and its smaller neighbours are linked to the least of these."""
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
     own = least.select("a", F.col("m").alias("b"))
-    return joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
+    met = join_hot(edges, least, "a", n).where("b > m")
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).distinct()
 
 
 def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -48,7 +48,8 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        wide = stored(_large_star(edges, before[0]), "stars")
+        edges = stored(_small_star(wide, wide.count()), "stars")
         after = _state(edges)
         if after == before:
             break

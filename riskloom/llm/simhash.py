@@ -5,7 +5,8 @@ embedding. The Manhattan distance of two embeddings never exceeds the Hamming di
 fingerprints. For a range join under Manhattan distance ``r`` the coordinates are dealt to ``g`` groups:
 at most ``r`` groups can differ, so two embeddings in range agree on ``g - r`` groups at least, and share
 a cell of one of the sub-grids over ``g - r`` groups. Pairs in a cell are first held against the Manhattan
-bound and then verified by exact Hamming distance.
+bound and then verified by exact Hamming distance. The more fingerprints, the more groups (``spare_groups``): cells stay small, so
+that the pairs compared do not grow with the square of the table.
 
 Exact copies fall together before the join. Within a cell only a spanning set of links is kept, never all
 pairs; cells above ``cell_rows`` are dealt out as pairs of blocks, so that no task holds more than two
@@ -14,6 +15,7 @@ blocks, and no link is lost.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_copies
-from .common import small_batches, stored, text_bytes
+from .common import join_hot, small_batches, stored, text_bytes
 from .components import connected_components
 
 _ODD = np.uint64(0x5555555555555555)
@@ -87,6 +89,18 @@ def groups(max_bits: int, spare: int = 3) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def spare_groups(distinct: int, max_bits: int = 4) -> int:
+    """Groups of a sub-grid that make the least work for so many fingerprints: rows dealt to sub-grids, plus pairs compared.
+
+    Two random two-bit segments agree with a chance of 3 in 8. To deal and sort a row costs as much as some 200 comparisons.
+    """
+    def work(spare: int) -> float:
+        partners = distinct * 0.375 ** (32 * spare / (max_bits + spare))
+        return math.comb(max_bits + spare, spare) * (1 + partners / 200)
+
+    return min(range(3, 9), key=work)
+
+
 def cells(fps: np.ndarray, max_bits: int, spare: int = 3) -> np.ndarray:
     """A row of cell numbers for each fingerprint, one for each sub-grid over ``spare`` groups."""
     v, parts = embed(fps), groups(max_bits, spare)
@@ -141,12 +155,12 @@ def _links_of_runs(keys: np.ndarray, fps: np.ndarray, max_bits: int, large: int
 
 def links(distinct: DataFrame, max_bits: int = 4, cell_rows: int = 8192) -> DataFrame:
     """From distinct fingerprints (``fp``) to links ``a, b`` that connect all that differ in ``max_bits`` or fewer."""
-    spark = distinct.sparkSession
+    spare = spare_groups(distinct.count(), max_bits)
 
     def deal(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            key = cells(fps, max_bits)
+            key = cells(fps, max_bits, spare)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.ravel()), pa.array(np.repeat(fps.view(np.int64), key.shape[1]))], ["cell", "fp"])
 
@@ -185,7 +199,6 @@ def links(distinct: DataFrame, max_bits: int = 4, cell_rows: int = 8192) -> Data
         if len(keys):
             yield out(keys, fps)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
     sorted_cells = blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     found = sorted_cells.mapInArrow(link, "a long, b long").distinct()
     return found
@@ -201,13 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows stay, in one component. Other columns of ``docs`` are ignored.
     """
     own = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    distinct = stored(own.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     found = connected_components(links(distinct, max_bits))
-    small_batches(docs.sparkSession)
-    linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stored(linked.join(first, "root").select("fp", "component_id"), "components")
-    return own.join(classes, "fp").select("id", "fp", "component_id")
+    linked = stored(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+    first = stored(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "first-ids")
+    classes = join_hot(linked.select("fp", "root", "rows"), first, "root", linked.count())
+    classes = stored(classes.select("fp", "component_id", F.col("rows").alias("n")), "components")
+    return join_hot(own, classes, "fp", own.count()).select("id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, cell_rows: int = 2048) -> DataFrame:

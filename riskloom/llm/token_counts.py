@@ -111,10 +111,9 @@ def op2(docs: DataFrame) -> DataFrame:
     counted = stored(
         count(with_hash, keep=["doc_id", "source", "lang", "h"]).withColumn("tokenizer", F.lit("byte_bpe_multi_50k/1"))
         .withColumn("row", F.monotonically_increasing_id()), "token-counts")
-    first = counted.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
-    stays = first.select(F.col("first.row").alias("row"))
-    copies = counted.join(first.where("n > 1").select("h", F.col("first.row").alias("stays")), "h").where("row <> stays")
-    kept = counted.join(stays, "row", "left_semi")
+    first = counted.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stays = stored(first.select(F.col("first.row").alias("row")), "first-rows")  # row numbers are unique: no key of these joins is hot
+    copies, kept = counted.join(stays, "row", "left_anti"), counted.join(stays, "row", "left_semi")
     ledger = Ledger(spark, f"{shared_dir(spark)}/riskloom/ledger-{uuid.uuid4().hex}")
     ledger.commit("load", inserts(counted))
     ledger.commit("load", inserts(counted))
