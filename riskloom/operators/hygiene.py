@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("scam", "safe")
 
 
+def _latin_folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Accented Latin letters and the plain ones they fold to, and by combining mark the letters that it accents: by rule."""
+    ranges = (range(0xAA, 0x250), range(0x1E00, 0x1F00))
+    folds = {}
+    for c in (chr(k) for r in ranges for k in r):
+        plain = unicodedata.normalize("NFKD", c.lower()).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            folds[c] = plain
+    marks = []
+    for mark in (chr(k) for k in range(0x300, 0x370)):
+        letters = "".join(x for x in map(chr, range(97, 123)) if len(unicodedata.normalize("NFC", x + mark)) == 1)
+        if letters:
+            marks.append((mark, letters))
+    return "".join(folds), "".join(folds.values()), marks
+
+
+_ACCENTED, _PLAIN, _MARKS = _latin_folds()
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their accents (composed or not), other scripts as they are."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = low
+    for mark, letters in _MARKS:
+        bare = F.regexp_replace(bare, f"([{letters}]){mark}", "$1")
+    return F.translate(F.when(low.rlike("[\u0300-\u036F]"), bare).otherwise(low), _ACCENTED, _PLAIN)
+
+
 def text_key(text: Column) -> Column:
-    """What dedupe and leakage compare: lower case, links as one mark, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"https?://[^ \t\n\r]+", "<url>"), r"[ \t\n\r]+", " "))
+    """What dedupe and leakage compare: folded text, links as one mark, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(text), r"https?://[^ \t\n\r]+", "<URL>"), r"[ \t\n\r]+", " "))
 
 
-TEXT_KEY_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), 'https?://[^ \t\n\r]+', '<url>', 'g'), '[ \t\n\r]+', ' ', 'g'))"
+TEXT_KEY_SQL = r"trim(regexp_replace(regexp_replace(strip_accents(lower(nfc_normalize(coalesce(text, '')))), 'https?://[^ \t\n\r]+', '<URL>', 'g'), '[ \t\n\r]+', ' ', 'g'))"
 
 
 def keep_first(rows: DataFrame, *keys: Column, order: str = "id") -> DataFrame:
-    """The first row by ``order`` of each key: a minimum for each key, then a semi join, so that no key's rows meet in one place."""
-    keyed = rows
-    for i, k in enumerate(keys):
-        keyed = keyed.withColumn(f"_k{i}", k)
-    names = [f"_k{i}" for i in range(len(keys))]
-    first = keyed.groupBy(*names).agg(F.min(order).alias(order)).select(order)
-    return rows.join(first, order, "left_semi")
+    """The first row by ``order`` of each key: the least row of each key, so that every task sends on one row a key.
+
+    Null keys are one key; rows without an order come last; of rows equal in both, the least by its other columns stays.
+    """
+    least = F.min(F.struct(F.col(order).isNull().alias("_last"), F.col(order).alias("_order"), F.struct(*rows.columns).alias("_row")))
+    return rows.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg(least.alias("_f")).select("_f._row.*")
 
 
 def validate(rows: DataFrame, required: list[str], label: str = "label") -> DataFrame:
@@ -35,10 +64,25 @@ def validate(rows: DataFrame, required: list[str], label: str = "label") -> Data
 
 
 def stratified_split(rows: DataFrame, strata: list[str], seed: str = "42") -> DataFrame:
-    """Adds ``split``: 70/15/15 in each stratum, by a hash of the id; one row trains, two train and test, three go one each way."""
-    w = Window.partitionBy(*strata)
-    ranked = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))), "id")))
-    return ranked.withColumn("split", F.expr(SPLIT_SQL)).drop("_n", "_r")
+    """Adds ``split``: 70/15/15 in each stratum, by a hash of the id; one row trains, two train and test, three go one each way.
+
+    A stratum may hold most rows, so none is sorted in one place: ids are ranked within slices of a stratum by the first
+    byte of their hash (two bytes where a stratum is large), and a slice's rank starts after the counts of the slices before. Ids are unique.
+    """
+    digest = F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))
+    keyed = rows.select("id", *strata, digest.alias("_h"))
+    sizes = keyed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    digits = F.when(F.col("_n") > 1_000_000, 4).otherwise(2)
+    k, z = keyed.alias("k"), sizes.alias("z")
+    sliced = k.join(z, [F.col(f"k.{c}").eqNullSafe(F.col(f"z.{c}")) for c in strata]).select("k.*", "z._n").withColumn("_slice", F.substring("_h", F.lit(1), digits))
+    counts = sliced.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 65,536 slices at most
+    starts = counts.withColumn("_before", before).drop("_c")
+    within = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_h", "id"))
+    s, b = sliced.withColumn("_w", within).alias("s"), starts.alias("b")
+    met = s.join(b, [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*strata, "_slice"]])
+    split = met.select("s.id", "s._n", (F.col("s._w") + F.col("b._before")).alias("_r")).select("id", F.expr(SPLIT_SQL).alias("split"))
+    return rows.join(split, "id")
 
 
 SPLIT_SQL = """CASE WHEN _n = 1 THEN 'train' WHEN _n = 2 THEN CASE WHEN _r = 1 THEN 'train' ELSE 'test' END
@@ -96,5 +140,5 @@ def shortened_sql(text: str, most: int = 160) -> str:
 
 
 WEAK_CATEGORY = """CASE WHEN label <> 'scam' THEN 'safe' WHEN contains(lower(text), 'kyc') OR contains(lower(text), 'केवाईसी') THEN 'kyc'
-  WHEN contains(lower(text), 'loan') OR contains(lower(text), 'लोन') THEN 'loan' WHEN contains(lower(text), 'parcel') OR contains(lower(text), 'customs') THEN 'delivery'
-  WHEN contains(lower(text), 'atm') OR contains(lower(text), 'bank') THEN 'bank_impersonation' ELSE 'other' END"""
+  WHEN contains(lower(text), 'loan') OR contains(lower(text), 'लोन') THEN 'loan' WHEN contains(lower(text), 'parcel') OR contains(lower(text), 'customs') OR contains(lower(text), 'पार्सल') THEN 'delivery'
+  WHEN contains(lower(text), 'atm') OR contains(lower(text), 'खाता') OR contains(lower(text), 'bank') THEN 'bank_impersonation' ELSE 'other' END"""

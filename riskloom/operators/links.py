@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import Duck, Spark
+from ..sources.tables import written
 from . import urls as U
 
 _SIDES = ("b", "c")
@@ -16,7 +17,7 @@ _KEPT = ["raw", "scheme", "host", "port", "path", "fragment", "query", "root", "
 def both_sides(links: DataFrame) -> DataFrame:
     """Each distinct link is analysed once and joined to both sides."""
     every = links.select(F.col("baseline_url").alias("url")).unionByName(links.select(F.col("current_url").alias("url")))
-    known = U.distinct_urls(every).select("url", "risk_score", *_KEPT)
+    known = written(U.distinct_urls(every).select("url", "risk_score", *_KEPT), "analysed-links")
     side = lambda s: known.select(F.col("url").alias(f"{s}_url"), *(F.col(x).alias(f"{s}_{x}") for x in ("risk_score", *_KEPT)))
     return (
         links.where("current_url is not null").join(side("c"), F.col("current_url") == F.col("c_url"))
@@ -95,8 +96,49 @@ def param_changes(sides: DataFrame) -> DataFrame:
     return both.selectExpr("*", f"{Spark.decode('new')} AS decoded").selectExpr("*", f"{category} AS category").selectExpr("link_id", "name", "category", f"{impact} AS impact")
 
 
+#: Indicators that count as obfuscation.
+OBFUSCATION = (
+    "encoding_obfuscation", "hex_encoded_host", "punycode_domain", "internationalized_host", "mixed_script_host", "multiple_at", "confusing_userinfo", "embedded_credentials",
+    "excessive_separators",
+)
+
+
+def flags(sides: DataFrame, side: str = "c") -> DataFrame:
+    """``link_id`` and what one side's link hides: ``redirect, nested, encoded_destination, obfuscated``.
+
+    A link may be inspected alone: the baseline plays no part.
+    """
+    p = lambda *names: _any(F.col(f"{side}_p_{n}").isNotNull() for n in names)
+    raw = F.col(f"{side}_raw")
+    marks = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("://"), F.lit("")))) / 3
+    decoded = F.coalesce(F.expr(Spark.decode(f"{side}_raw")), raw)
+    visible, hidden = marks(raw) > 1, marks(decoded) > marks(raw)
+    values = F.transform(F.filter(F.split(F.col(f"{side}_query"), "&"), lambda x: x != ""), lambda x: F.regexp_extract(x, "^[^=]*=(.*)$", 1))
+    twice = F.transform(values, lambda v: _unescaped(_unescaped(F.replace(v, F.lit("+"), F.lit(" ")))))
+    in_value = F.exists(twice, lambda v: F.contains(v, F.lit("://")))
+    return sides.select(
+        "link_id", (p("suspicious_redirect_parameter", "short_url_redirector") | visible).alias("redirect"), (p("nested_url", "encoded_nested_url") | visible | hidden).alias("nested"),
+        (p("encoded_nested_url", "nested_url") | in_value).alias("encoded_destination"), (p(*OBFUSCATION) | in_value | visible | (marks(decoded) > 1)).alias("obfuscated"),
+    )
+
+
+def _any(tests):
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _unescaped(text):
+    return F.coalesce(F.try_url_decode(F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f][0-9A-Fa-f])", "%25")), text)
+
+
 def change_impact(sides: DataFrame) -> DataFrame:
-    """``link_id, n_changes, n_risky, impact_points`` (at most 70) of each compared link."""
+    """``link_id, n_changes, n_risky, impact_points, risk_delta`` of each compared link.
+
+    Points are those of the changes that add risk, five for an encoded destination and three for obfuscation of the current
+    link, 70 at most; ``risk_delta`` is the current link's score less the baseline's.
+    """
     every = (
         field_changes(sides).select("link_id", "category", "impact", F.lit("").alias("evidence"))
         .unionByName(indicator_changes(sides).select("link_id", "category", "impact", F.col("indicator").alias("evidence")))
@@ -104,8 +146,13 @@ def change_impact(sides: DataFrame) -> DataFrame:
     ).distinct()
     cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.CHANGE_POINTS.items())
     points = F.when(F.col("impact") == "risk_increasing", F.expr(f"CASE category {cases} ELSE 4 END")).otherwise(0)
-    return every.groupBy("link_id").agg(
-        F.count(F.lit(1)).alias("n_changes"), F.count(F.when(F.col("impact") == "risk_increasing", 1)).alias("n_risky"), F.least(F.lit(70), F.sum(points)).cast("long").alias("impact_points"))
+    summed = every.groupBy("link_id").agg(
+        F.count(F.lit(1)).alias("n_changes"), F.count(F.when(F.col("impact") == "risk_increasing", 1)).alias("n_risky"), F.sum(points).alias("points"))
+    compared = sides.where("b_url is not null")
+    extra = flags(compared).select("link_id", F.when(F.col("encoded_destination"), 5).otherwise(0).alias("e"), F.when(F.col("obfuscated"), 3).otherwise(0).alias("o"))
+    delta = compared.select("link_id", (F.col("c_risk_score") - F.col("b_risk_score")).alias("risk_delta"))
+    both = delta.join(extra, "link_id").join(summed, "link_id", "left").fillna(0, ["n_changes", "n_risky", "points"])
+    return both.select("link_id", "n_changes", "n_risky", F.least(F.lit(70), F.col("points") + F.col("e") + F.col("o")).cast("long").alias("impact_points"), F.col("risk_delta").cast("int").alias("risk_delta"))
 
 
 def oracle_ctes(links: str) -> str:
@@ -132,5 +179,14 @@ param_sides AS (SELECT coalesce(o.link_id, n.link_id) AS link_id, coalesce(o.nam
   FROM {params('b')} o FULL OUTER JOIN {params('c')} n ON o.link_id = n.link_id AND o.name = n.name),
 param_changes AS (SELECT link_id, name, category, {impact} AS impact FROM (SELECT *, {category} AS category FROM param_sides WHERE old IS NULL OR new IS NULL OR old <> new)),
 all_changes AS (SELECT link_id, category, impact, '' AS evidence FROM field_changes UNION SELECT link_id, category, impact, indicator FROM indicator_changes UNION SELECT link_id, category, impact, name FROM param_changes),
-change_impact AS (SELECT link_id, count(*) AS n_changes, count(CASE WHEN impact = 'risk_increasing' THEN 1 END) AS n_risky,
-  CAST(least(70, sum(CASE WHEN impact = 'risk_increasing' THEN CASE category {cases} ELSE 4 END ELSE 0 END)) AS BIGINT) AS impact_points FROM all_changes GROUP BY link_id)"""
+summed AS (SELECT link_id, count(*) AS n_changes, count(CASE WHEN impact = 'risk_increasing' THEN 1 END) AS n_risky,
+  sum(CASE WHEN impact = 'risk_increasing' THEN CASE category {cases} ELSE 4 END ELSE 0 END) AS points FROM all_changes GROUP BY link_id),
+looked AS (SELECT link_id, c_risk_score - b_risk_score AS risk_delta, len(string_split(c_raw, '://')) - 1 AS seen, len(string_split(url_decode(c_raw), '://')) - 1 AS seen_decoded,
+  len(list_filter(string_split(c_query, '&'), lambda x: contains(x, '=') AND contains(url_decode(url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' '))), '://'))) > 0 AS in_value,
+  {' OR '.join(f'coalesce(c_p_{x}, 0) > 0' for x in ('nested_url', 'encoded_nested_url'))} AS nests, {' OR '.join(f'coalesce(c_p_{x}, 0) > 0' for x in OBFUSCATION)} AS hides,
+  coalesce(c_p_suspicious_redirect_parameter, c_p_short_url_redirector, 0) > 0 AS sends FROM sides WHERE b_url IS NOT NULL),
+flags AS (SELECT link_id, risk_delta, sends OR seen > 1 AS redirect, nests OR seen > 1 OR seen_decoded > seen AS nested, nests OR in_value AS encoded_destination,
+  hides OR in_value OR seen > 1 OR seen_decoded > 1 AS obfuscated FROM looked),
+change_impact AS (SELECT f.link_id, coalesce(n_changes, 0) AS n_changes, coalesce(n_risky, 0) AS n_risky,
+  CAST(least(70, coalesce(points, 0) + CASE WHEN encoded_destination THEN 5 ELSE 0 END + CASE WHEN obfuscated THEN 3 ELSE 0 END) AS BIGINT) AS impact_points, CAST(risk_delta AS INT) AS risk_delta
+  FROM flags f LEFT JOIN summed s ON f.link_id = s.link_id)"""

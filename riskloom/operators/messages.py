@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.dialect import Duck, Spark
 
-LISTS = [x for x in rules.CORE_TERMS if x not in ("otp_phrase", "otp_verb")]
+LISTS = [x for x in rules.TERMS if x not in rules.PARTS]
+_BROADCAST_TERMS = 100_000  # rows of a lexicon that is sent to every task; a larger one is joined by shuffle
 INDICATORS = list(rules.MESSAGE_WEIGHTS)
 
 URL_PATTERN = r"(?i)(?:https?://|www[.])[^ \t\n\r<>()\[\]{}\x27\x22]+|(?:(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?[.])+[a-z]{2,}(?:/[^ \t\n\r]*)?)"
@@ -37,15 +38,16 @@ def lexicon_hits(messages: DataFrame, lexicon: DataFrame | None = None) -> DataF
     lexicon = rules.lexicon(messages.sparkSession) if lexicon is None else lexicon
     texts = messages.select("msg_id", normalized(F.col("text")).alias("norm"))
     words = texts.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))))
-    latin = F.broadcast(lexicon.where("not deva"))
+    small = lexicon.limit(_BROADCAST_TERMS + 1).count() <= _BROADCAST_TERMS
+    sized = F.broadcast if small else (lambda table: table)
+    latin = sized(lexicon.where("not deva"))
     bounded = F.expr(r"norm rlike concat('(?<![\\p{L}\\p{N}_])\\Q', term, '\\E(?![\\p{L}\\p{N}_])')")
     by_word = words.join(latin, F.col("word") == F.col("anchor")).where((F.col("term") == F.col("word")) | (F.col("norm").contains(F.col("term")) & bounded))
-    deva = lexicon.where("deva").select("list", "ord", "term").collect()  # a rule table
-    if not deva:
-        return by_word.select("msg_id", "list", "ord")
-    terms = F.array(*(F.struct(F.lit(r["list"]).alias("list"), F.lit(r["ord"]).alias("ord"), F.lit(r["term"]).alias("term")) for r in deva))
-    script = texts.where(F.col("norm").rlike(r"[ऀ-ॿ]"))
-    by_part = script.withColumn("hit", F.explode(F.filter(terms, lambda t: F.contains(F.col("norm"), t["term"])))).select("msg_id", "hit.list", "hit.ord")
+    # A term that may stand anywhere is met by its first two characters.
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 1)), lambda i: F.substring("norm", i, F.lit(2))))
+    script = texts.where(F.col("norm").rlike(r"[ऀ-ॿ]")).withColumn("start", F.explode(F.filter(starts, lambda x: x.rlike(r"[ऀ-ॿ]"))))
+    parts = sized(lexicon.where("deva").select("list", "ord", "term", F.substring("term", 1, 2).alias("start")))
+    by_part = script.join(parts, "start").where(F.contains("norm", F.col("term"))).select("msg_id", "list", "ord")
     return by_word.select("msg_id", "list", "ord").unionByName(by_part)
 
 
@@ -53,18 +55,29 @@ def _any_part(d, text: str, parts) -> str:
     return "(" + " OR ".join(f"contains({text}, '" + p.replace("'", "''") + "')" for p in parts) + ")"
 
 
-def _verbs(d) -> str:
+def _verbs(d, verbs) -> str:
     before = r"(^|[^\p{L}\p{N}_])"
-    return " + ".join(f"CAST({d.match('norm', before + v)} AS INT)" for v in rules.CORE_TERMS["otp_verb"])
+    return " + ".join(f"CAST({d.match('norm', before + v)} AS INT)" for v in verbs)
 
 
-def _flags_sql(d) -> list[str]:
+def _flags_sql(d, terms: dict) -> list[str]:
     return [
-        f"{_verbs(d)} AS verbs", f"{_any_part(d, 'norm', rules.CORE_TERMS['otp_phrase'])} AS otp_phrase",
-        f"{_any_part(d, 'norm', rules.CORE_TERMS['safe_marker'])} AS safe_part", f"{_any_part(d, 'norm', rules.TRANSACTIONAL)} AS transactional",
+        f"{_verbs(d, terms['otp_verb'])} AS verbs", f"{_any_part(d, 'norm', terms['otp_phrase'])} AS otp_phrase",
+        f"{_any_part(d, 'norm', terms['safe_marker'])} AS safe_part", f"{_any_part(d, 'norm', terms['transactional'])} AS transactional",
     ]
 
 
+def _part_terms(lexicon: DataFrame | None) -> dict:
+    """The lists that are looked for as parts: the lexicon's own, or the fixed ones where it has none of a list."""
+    names, out = (*rules.PARTS, "safe_marker"), dict(rules.TERMS)
+    if lexicon is not None:
+        given: dict[str, list[str]] = {}
+        for r in lexicon.where(F.col("list").isin(*names)).orderBy("ord").select("list", "term").collect():  # phrase lists that become one expression
+            given.setdefault(r["list"], []).append(r["term"])
+        out |= given
+    return out
+
+
 def _severity_sql() -> list[str]:
     out = []
     for name, (high, medium, low) in rules.SEVERITIES.items():
@@ -104,8 +117,8 @@ def level_sql(score: str) -> str:
     return f"CASE WHEN {score} < 25 THEN 'LOW' WHEN {score} < 50 THEN 'MEDIUM' WHEN {score} < 75 THEN 'HIGH' ELSE 'CRITICAL' END"
 
 
-def _verdict_sql() -> list[str]:
-    score = "CAST(floor((raw10 + 5) / 10) AS INT)"
+def _verdict_sql(d) -> list[str]:
+    score = f"CAST({d.even}(CAST(raw10 AS DOUBLE) / 10, 0) AS INT)"
     category = " ".join(f"WHEN s_{i} IS NOT NULL THEN '{c}'" for c, i in rules.CATEGORIES)
     return [
         f"{score} AS risk_score", f"{level_sql(score)} AS risk_level", f"{score} >= 50 AS is_scam",
@@ -123,7 +136,7 @@ def indicators(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFra
     counts = hits.groupBy("msg_id").agg(*(F.count(F.when(F.col("list") == x, 1)).alias(f"n_{x}") for x in LISTS))
     own = messages.select("msg_id", "lang", F.col("text"), normalized(F.col("text")).alias("norm"))
     own = own.select("msg_id", "lang", F.exists(urls_in(F.col("text")), lambda u: u.rlike(BAD_URL)).alias("bad_url"), "norm")
-    own = own.selectExpr("msg_id", "lang", "bad_url", *_flags_sql(Spark))
+    own = own.selectExpr("msg_id", "lang", "bad_url", *_flags_sql(Spark, _part_terms(lexicon)))
     joined = own.join(counts, "msg_id", "left").fillna(0, [f"n_{x}" for x in LISTS])
     return joined.selectExpr("*", *_severity_sql())
 
@@ -137,19 +150,19 @@ def message_facts(found: DataFrame) -> DataFrame:
 def message_scores(found: DataFrame) -> DataFrame:
     """``msg_id, lang, raw_score, risk_score, risk_level, is_scam, confidence, category, guarded``."""
     scored = found.selectExpr("*", *_score_sql(Spark))
-    return scored.selectExpr("msg_id", "lang", "CAST(raw10 AS DOUBLE) / 10 AS raw_score", *_verdict_sql(), "guarded", "n_fired")
+    return scored.selectExpr("msg_id", "lang", "CAST(raw10 AS DOUBLE) / 10 AS raw_score", *_verdict_sql(Spark), "guarded", "n_fired")
 
 
 def with_scores(found: DataFrame) -> DataFrame:
     """All columns of ``indicators`` beside the score and its verdict."""
-    return found.selectExpr("*", *_score_sql(Spark)).selectExpr("*", *_verdict_sql())
+    return found.selectExpr("*", *_score_sql(Spark)).selectExpr("*", *_verdict_sql(Spark))
 
 
 # ---- the same in the checking engine, with a plain nested loop over the terms ----------------------
 
 def oracle_ctes(messages: str) -> str:
     d = Duck
-    terms = rules.values([(n, i, t, any("ऀ" <= c <= "ॿ" for c in t)) for n, ts in rules.CORE_TERMS.items() if n in LISTS for i, t in enumerate(ts)], "x(list, ord, term, deva)")
+    terms = rules.values([(n, i, t, any("ऀ" <= c <= "ॿ" for c in t)) for n, ts in rules.TERMS.items() if n in LISTS for i, t in enumerate(ts)], "x(list, ord, term, deva)")
     urls = rf"len(list_filter(list_transform(regexp_extract_all(text, '{URL_PATTERN}'), lambda u: regexp_replace(u, '{URL_TRAILER}', '')), lambda u: regexp_matches(u, '{BAD_URL}'))) > 0"
     counts = ", ".join(f"count(CASE WHEN list = '{x}' THEN 1 END) AS n_{x}" for x in LISTS)
     return rf"""
@@ -160,7 +173,7 @@ marked AS (SELECT *, '|' || {d.swap('term', r'([^\p{L}\p{N}_])', r'|\1|')} || '|
 hits AS (SELECT msg_id, list, ord FROM (SELECT msg_id, norm, '|' || {d.swap('norm', r'([^\p{L}\p{N}_])', r'|\1|')} || '|' AS edges FROM own) m, marked
   WHERE CASE WHEN deva THEN contains(norm, term) ELSE contains(edges, edged) END),
 counts AS (SELECT o.msg_id, {counts} FROM own o LEFT JOIN hits h ON o.msg_id = h.msg_id GROUP BY o.msg_id),
-wide AS (SELECT o.msg_id, lang, bad_url, {', '.join(_flags_sql(d))}, c.* EXCLUDE (msg_id) FROM own o JOIN counts c ON o.msg_id = c.msg_id),
+wide AS (SELECT o.msg_id, lang, bad_url, {', '.join(_flags_sql(d, rules.TERMS))}, c.* EXCLUDE (msg_id) FROM own o JOIN counts c ON o.msg_id = c.msg_id),
 found AS (SELECT *, {', '.join(_severity_sql())} FROM wide),
 scored AS (SELECT *, {', '.join(_score_sql(d))} FROM found),
-message_scores AS (SELECT msg_id, lang, CAST(raw10 AS DOUBLE) / 10 AS raw_score, {', '.join(_verdict_sql())}, guarded, n_fired FROM scored)"""
+message_scores AS (SELECT msg_id, lang, CAST(raw10 AS DOUBLE) / 10 AS raw_score, {', '.join(_verdict_sql(d))}, guarded, n_fired FROM scored)"""

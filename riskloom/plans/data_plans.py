@@ -22,7 +22,7 @@ _STAGES = """SELECT conv_id AS chain_id, turn AS idx, CASE (conv_id + turn) % 4
   CASE conv_id % 7 WHEN 0 THEN 'fake_kyc' WHEN 1 THEN 'prize_scam' WHEN 2 THEN 'loan' WHEN 3 THEN 'customer_care' WHEN 4 THEN 'job_scam' WHEN 5 THEN 'none' END AS scam_type,
   CASE turn % 4 WHEN 0 THEN 'urgency' WHEN 1 THEN 'suspicious_keyword' WHEN 2 THEN 'otp_request' ELSE '' END AS indicators,
   CASE WHEN (conv_id + turn) % 4 IN (0, 1, 3) AND conv_id % 3 > 0 THEN 'https://' || CASE WHEN turn % 2 = 0 THEN 'www.' ELSE '' END || 'site' || CAST(conv_id % 5 AS {text}) || '.example.com/login' END AS url,
-  CASE WHEN (conv_id + turn) % 4 IN (2, 3) THEN 'shop' || CAST(conv_id % 11 AS {text}) || '@upi' END AS payee, substr(text, 1, 60) AS content FROM conversations"""
+  CASE WHEN (conv_id + turn) % 4 IN (2, 3) THEN 'shop' || CAST(conv_id % 11 AS {text}) || '@upi' END AS payee, text AS content FROM conversations"""
 
 
 def _rows(s, d):
@@ -77,7 +77,7 @@ QUERIES = {
     "zone_counts": lambda s, d: Z.zones(U.url_scores(read(s, d, URLS, "pages"))).groupBy("zone").count().withColumnRenamed("count", "n_urls"),
     "factor_breakdown": lambda s, d: Z.factor_breakdown(_url_facts(s, d), "url_id"),
     "top_reasons": lambda s, d: Z.top_reasons(_url_facts(s, d), "url_id"),
-    "tfidf_terms": lambda s, d: K.tfidf(_rows(s, d).withColumn("text", F.substring("text", 1, 200))),
+    "tfidf_terms": lambda s, d: K.tfidf(_rows(s, d)),
     "classifier_predictions": _classified,
 }
 
@@ -93,7 +93,7 @@ def _overlap(key: str) -> str:
     return f"SELECT splits, count(*) AS n_texts FROM (SELECT key, string_agg(split, '+' ORDER BY split) AS splits, count(*) AS n FROM (SELECT DISTINCT {key} AS key, split FROM {_SPLIT}) GROUP BY key) WHERE n > 1 GROUP BY splits"
 
 
-_GRAMS = r"""SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT id, regexp_extract_all(lower(substr(text, 1, 200)), '[\p{L}\p{N}_]+') AS w FROM (%s))""" % _L
+_GRAMS = r"""SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM (%s))""" % _L
 _FACTS = " UNION ALL ".join(f"SELECT url_id, '{x}' AS indicator, p_{x} AS points FROM i WHERE p_{x} IS NOT NULL" for x in U.INDICATORS)
 _FACTED = f"WITH i AS ({U.oracle_indicators(duck(URLS))}), facts AS ({_FACTS})"
 ORACLE = {

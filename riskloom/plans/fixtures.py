@@ -6,8 +6,6 @@ are put together from a row's own columns and a template that its id picks.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 _TEMPLATES = (
@@ -41,7 +39,7 @@ def _case(value: str, options, otherwise: str) -> str:
     return f"CASE {value} {whens} ELSE {otherwise} END"
 
 
-MESSAGES = f"""SELECT doc_id AS msg_id, lang, {_case('doc_id % 24', _TEMPLATES, "''")} || ' ' || substr(text, 1, 120) AS text FROM documents"""
+MESSAGES = f"""SELECT doc_id AS msg_id, lang, {_case('doc_id % 24', _TEMPLATES, "''")} || ' ' || text AS text FROM documents"""
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _TAIL = "regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1)"
@@ -123,11 +121,3 @@ def read(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     return sql.format(text="VARCHAR") if "{text}" in sql else sql
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that the cluster shares: what reads it starts from a plain scan."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/riskloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

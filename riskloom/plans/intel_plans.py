@@ -8,7 +8,8 @@ from ..functions.dialect import Duck  # noqa: F401
 from ..operators import destinations as D
 from ..operators import intel as I
 from ..operators import messages as M
-from .fixtures import MESSAGES, URLS, read, written
+from ..sources.tables import written
+from .fixtures import MESSAGES, URLS, read
 
 
 def _artefacts(s, d):

@@ -12,9 +12,9 @@ from .fixtures import LINKS, MESSAGES, PAYMENTS, SENDERS, URLS, duck, read
 _PAY_FIELDS, _PAY_SCORES = ["pay_id", *P.FIELDS], ["pay_id", "total", "risk_score", "risk_level", "is_suspicious", "confidence"]
 _ATTACHMENT = ["sender_id", "extension", "attachment_score", "attachment_level", "attachment_suspicious"]
 _SENDER = ["sender_id", "claimed", "sender_brand_mismatch", "sender_score"]
-_PAYLOADS = """SELECT CAST(floor(id / 3) AS BIGINT) AS container, CAST(id % 3 AS BIGINT) AS pos, payload FROM (
-  SELECT url_id AS id, url AS payload FROM ({urls}) WHERE url_id % 3 = 0 UNION ALL SELECT pay_id AS id, uri AS payload FROM ({pays}) WHERE pay_id % 3 = 1
-  UNION ALL SELECT msg_id AS id, text AS payload FROM ({msgs}) WHERE msg_id % 3 = 2)"""
+_PAYLOADS = """SELECT CAST(floor(id / 3) AS BIGINT) AS container, CAST(id % 3 + 3 * kind AS BIGINT) AS pos, payload FROM (
+  SELECT url_id AS id, 0 AS kind, url AS payload FROM ({urls}) UNION ALL SELECT pay_id AS id, 1 AS kind, uri AS payload FROM ({pays})
+  UNION ALL SELECT msg_id AS id, 2 AS kind, text AS payload FROM ({msgs}))"""
 
 
 def _payments(spark, sf_dir):
@@ -36,7 +36,7 @@ def _payload_combined(spark, sf_dir):
     keys = ["container", "pos", "content_type"]
     url = U.url_scores(rows.where("content_type = 'url'").withColumnRenamed("payload", "url")).select(*keys, "risk_score")
     upi = P.payment_scores(rows.where("content_type = 'upi'").withColumnRenamed("payload", "uri")).select(*keys, "risk_score")
-    texts = rows.where("content_type = 'text'").selectExpr("container", "pos", "content_type", "container * 3 + pos AS msg_id", "'' AS lang", "payload AS text")
+    texts = rows.where("content_type = 'text'").selectExpr("container", "pos", "content_type", "container * 9 + pos AS msg_id", "'' AS lang", "payload AS text")
     message = texts.join(M.message_scores(M.indicators(texts)).select("msg_id", "risk_score"), "msg_id").select(*keys, "risk_score")
     unknown = rows.where("content_type = 'unknown'").selectExpr(*keys, "0 AS risk_score")
     return P.combined_scores(url.unionByName(upi).unionByName(message).unionByName(unknown))
@@ -54,13 +54,14 @@ QUERIES = {
     "link_indicator_changes": lambda s, d: L.indicator_changes(_sides(s, d)),
     "link_param_changes": lambda s, d: L.param_changes(_sides(s, d)),
     "change_impact": lambda s, d: L.change_impact(_sides(s, d)),
+    "link_flags": lambda s, d: L.flags(_sides(s, d).where("b_url is not null")),
 }
 
 _SCORED = P.oracle_scores(duck(PAYMENTS))
 _UPI_FACTS = " UNION ALL ".join(f"SELECT pay_id, '{x}' AS indicator, p_{x} AS points FROM i WHERE p_{x} IS NOT NULL" for x in P.INDICATORS)
 _ROWS = f"(SELECT container, pos, payload, {P.content_type_sql(Duck)} AS content_type FROM ({_PAYLOADS.format(urls=duck(URLS), pays=duck(PAYMENTS), msgs=MESSAGES)}))"
 _LINKS = "WITH " + L.oracle_ctes(duck(LINKS))
-_TEXTS = "SELECT container * 3 + pos AS msg_id, '' AS lang, payload AS text FROM rows_ WHERE content_type = 'text'"
+_TEXTS = "SELECT container * 9 + pos AS msg_id, '' AS lang, payload AS text FROM rows_ WHERE content_type = 'text'"
 ORACLE = {
     "upi_fields": f"SELECT {', '.join(_PAY_FIELDS)} FROM ({P.oracle_fields(duck(PAYMENTS))})",
     "upi_scores": f"SELECT {', '.join(_PAY_SCORES)} FROM ({_SCORED})",
@@ -69,7 +70,7 @@ ORACLE = {
     "payload_combined": f"""WITH rows_ AS {_ROWS}, {M.oracle_ctes(_TEXTS)},
       parts AS (SELECT container, pos, content_type, risk_score FROM ({U.oracle_scores("SELECT container, pos, content_type, payload AS url FROM rows_ WHERE content_type = 'url'")})
         UNION ALL SELECT container, pos, content_type, risk_score FROM ({P.oracle_scores("SELECT container, pos, content_type, payload AS uri FROM rows_ WHERE content_type = 'upi'")})
-        UNION ALL SELECT CAST(floor(msg_id / 3) AS BIGINT), msg_id % 3, 'text', risk_score FROM message_scores
+        UNION ALL SELECT CAST(floor(msg_id / 9) AS BIGINT), msg_id % 9, 'text', risk_score FROM message_scores
         UNION ALL SELECT container, pos, content_type, 0 FROM rows_ WHERE content_type = 'unknown'),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY container ORDER BY risk_score DESC, pos) AS rn FROM parts)
       SELECT container, count(*) AS n_payloads, round_even(100 - exp(sum(CASE WHEN rn = 1 THEN CASE WHEN risk_score >= 100 THEN -1000 ELSE ln(CAST(100 - risk_score AS DOUBLE)) END ELSE ln(1 - CAST(risk_score AS DOUBLE) / 100 * CAST(0.7 AS DOUBLE)) END)), 6) AS score,
@@ -80,4 +81,5 @@ ORACLE = {
     "link_indicator_changes": f"{_LINKS} SELECT * FROM indicator_changes",
     "link_param_changes": f"{_LINKS} SELECT * FROM param_changes",
     "change_impact": f"{_LINKS} SELECT * FROM change_impact",
+    "link_flags": f"{_LINKS} SELECT link_id, redirect, nested, encoded_destination, obfuscated FROM flags",
 }

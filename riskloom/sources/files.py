@@ -9,8 +9,10 @@ LABELLED = "id string, text string, language string, scam_or_safe string, scam_t
 RAW = "message string, label string, reason string, domain string, language string"
 # Names of input types.
 ALIASES = {
-    "message": "message", "sms": "message", "text": "message", "chat": "message", "url": "url", "link": "url", "website": "url", "qr": "qr", "qr_content": "qr",
-    "qrcode": "qr", "upi": "upi", "payment": "upi", "upi_uri": "upi", "link_change": "link_change", "compare": "link_change", "chain": "chain",
+    "message": "message", "msg": "message", "text": "message", "url": "url", "link": "url", "qr": "qr", "qrcode": "qr", "qr_image": "qr", "image": "qr",
+    "upi": "upi", "upi_uri": "upi", "chain": "chain", "chain_analysis": "chain", "multistage": "chain", "link_change": "link_change", "link-change": "link_change",
+    "linkchange": "link_change", "purify": "link_change", "purifier": "link_change", "link_purifier": "link_change", "link_safety": "link_change",
+    "link_monitor": "link_change", "compare": "link_change",
 }
 
 
@@ -58,4 +60,4 @@ def intake(items: DataFrame) -> DataFrame:
 
     table = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
     known = F.get(F.map_values(F.map_filter(table, lambda k, v: k == F.lower(F.trim("type")))), F.lit(0))
-    return items.withColumn("kind", F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "error").when(F.col("type").isNull(), F.expr(input_type_sql(Spark))).otherwise(F.coalesce(known, F.lit("error"))))
+    return items.withColumn("kind", F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "error").when(F.coalesce(F.trim("type"), F.lit("")) == "", F.expr(input_type_sql(Spark))).otherwise(F.coalesce(known, F.lit("error"))))

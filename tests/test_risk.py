@@ -148,8 +148,8 @@ def test_zones(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "raw.csv").write_text('﻿message,label,reason,domain,language\n"two\nlines",scam,r,d,Hindi\nplease act now,legit,r,d,English\n,scam,r,d,English\nfine,legit,r,d,English\n', encoding="utf-8")
     assert {(r["text"], r["label"], r["language"]) for r in files.read_raw(spark, str(tmp_path / "raw.csv")).collect()} == {("two\nlines", "scam", "hi"), ("fine", "safe", "en")}
-    items = spark.createDataFrame([(1, None, "https://a.example"), (2, "SMS", "hi"), (3, "odd", "x"), (4, None, None), (5, None, "upi://pay")], "item_id long, type string, content string")
-    assert [r["kind"] for r in files.intake(items).orderBy("item_id").collect()] == ["url", "message", "error", "error", "upi"]
+    items = spark.createDataFrame([(1, None, "https://a.example"), (2, " MSG ", "hi"), (3, "odd", "x"), (4, None, None), (5, "", "upi://pay"), (6, "sms", "x"), (7, "Link-Change", "https://a.example")], "item_id long, type string, content string")
+    assert [r["kind"] for r in files.intake(items).orderBy("item_id").collect()] == ["url", "message", "error", "error", "upi", "error", "link_change"]
 
 
 def test_streams(spark, sf_dir, tmp_path):
