@@ -150,7 +150,7 @@ def _rates(start: float, steps: list[list[float]]) -> Column:
 def fit_rates(members: DataFrame, targets: list[float], rounds: int = 80, tolerance: float = 1e-3, patience: int = 6) -> tuple[Column, list[float]]:
     """The rate as an expression over ``p``, and the relative residuals that are left.
 
-    ``members`` has ``tokens`` and ``p``; ``targets`` are the wanted totals of tokens by domain. Minimised is the sum of squared
+    ``members`` has ``tokens`` and ``p`` (a posterior for each target); ``targets`` are the wanted totals of tokens by domain. Minimised is the sum of squared
     residuals, each over its target. The best rates of all rounds are returned; the fit ends within the tolerance, or when
     ``patience`` rounds gain less than a hundredth. Targets out of reach (for rates of one at most, or of a domain that no
     document has any share of) leave a residual.
@@ -168,9 +168,23 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = 80, tolera
     moments = np.array([row[f"m{i}_{j}"] or 0.0 for i, j in pairs]).reshape(k, k) * np.sqrt(weight)[:, None] * np.sqrt(weight)
     steepest = float(np.linalg.eigvalsh(moments).max())  # the curvature: steps of one over it never overshoot
 
+    names = [f"{x}{i}" for x in "ry" for i in range(k)]
+
     def residuals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        at = live.withColumn("_at", _rates(start, steps))
-        got = at.agg(*(F.sum(F.col(f"_at.{x}") * F.col("tokens") * p(i)).alias(f"{x}{i}") for x in "ry" for i in range(k))).first()
+        """Of the totals at the rates and at the points, summed over each partition in numpy and then by Spark."""
+        def run(batches):
+            sums = np.zeros(2 * k)
+            for b in batches:
+                share = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                r = y = np.full(len(share), start)
+                for *v, on in steps:
+                    cut = np.clip(y - share @ np.array(v), 0.0, 1.0)
+                    r, y = cut, cut + on * (cut - r)
+                tokens = b.column(0).to_numpy(zero_copy_only=False)
+                sums += np.concatenate([(x * tokens) @ share for x in (r, y)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
+
+        got = live.select(F.col("tokens").cast("double"), "p").mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()
         return tuple(np.array([got[f"{x}{i}"] for i in range(k)]) - wanted for x in "ry")
 
     start, momentum, waited = float(min(1.0, wanted.sum() / whole.sum())), 1.0, 0
