@@ -224,7 +224,7 @@ def quality_domain(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, shares: list[float] | None = None, keep: list[str] | None = None,
-        parts: tuple[float, ...] = (1.0, 0.99, 0.97, 0.94, 0.9, 0.8, 0.6, 0.4), most_left: float = 2e-3) -> tuple[Domains, DataFrame, Column, list[float]]:
+        parts: tuple[float, ...] = (1.0, 0.99, 0.97, 0.94, 0.9, 0.8, 0.6, 0.4), most_left: float = 1e-3) -> tuple[Domains, DataFrame, Column, list[float]]:
     """The classifier, the stored members (``keep`` columns, ``tokens``, ``p``), the rate over ``p``, and the residuals left.
 
     Wanted are the largest totals, of ``parts`` of what the first domain has, that rates of one at most can meet; if
