@@ -110,6 +110,12 @@ def edges(signalled: DataFrame) -> DataFrame:
     return _through(pairs, EDGE_STEPS).where("relation is not null").select(*EDGE)
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """Edges in the order of a report: by chain, neighbours first, then the strongest, then by stage. Sorted by ranges."""
+    near = F.when(F.col("to_stage") == F.col("from_stage") + 1, 0).otherwise(1)
+    return found.orderBy("chain_id", near, F.desc("strength_pct"), "from_stage", "to_stage")
+
+
 def chain_scores(signalled: DataFrame, found: DataFrame) -> DataFrame:
     """Pattern, score and class of each chain; edges are summed before they meet the chains."""
     per = signalled.groupBy("chain_id").agg(

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 LABELS = ("scam", "safe")
 
 
@@ -142,3 +144,42 @@ def shortened_sql(text: str, most: int = 160) -> str:
 WEAK_CATEGORY = """CASE WHEN label <> 'scam' THEN 'safe' WHEN contains(lower(text), 'kyc') OR contains(lower(text), 'केवाईसी') THEN 'kyc'
   WHEN contains(lower(text), 'loan') OR contains(lower(text), 'लोन') THEN 'loan' WHEN contains(lower(text), 'parcel') OR contains(lower(text), 'customs') OR contains(lower(text), 'पार्सल') THEN 'delivery'
   WHEN contains(lower(text), 'atm') OR contains(lower(text), 'खाता') OR contains(lower(text), 'bank') THEN 'bank_impersonation' ELSE 'other' END"""
+
+
+def placeholders(text: Column) -> Column:
+    """Texts as data sets keep them: phone numbers, account numbers and codes after the word OTP replaced; null stays null."""
+    out = F.regexp_replace(text, r"(?<![0-9])(?:\+91[\s-]?)?[6-9][0-9]{9}(?![0-9])", "[PHONE]")
+    out = F.regexp_replace(out, r"(?<![0-9])[0-9]{9,18}(?![0-9])", "[ACCOUNT]")
+    return F.trim(F.regexp_replace(out, r"(?i)(\bOTP\b[:\s]*)[0-9]{4,8}", "$1[OTP]"))
+
+
+def leakage_totals(rows: DataFrame) -> DataFrame:
+    """One row: ``n_exact, n_normalized`` distinct texts that stand in two splits or more, ``n_either`` texts in either sense, ``pairs`` of splits met."""
+    keyed = rows.select("split", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("key")).distinct()
+    exact = keyed.groupBy("key", "text").agg(F.collect_set("split").alias("s"))  # a set of three names at most
+    folded_ = exact.groupBy("key").agg(
+        F.count_if(F.size("s") > 1).alias("n_exact"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("splits"))
+    met = folded_.where("size(splits) > 1 OR n_exact > 0")
+    couples = F.array_join(F.sort_array(F.collect_set(F.array_join(F.sort_array("splits"), "+"))), ",")
+    return met.agg(
+        F.coalesce(F.sum("n_exact"), F.lit(0)).alias("n_exact"), F.count_if(F.size("splits") > 1).alias("n_normalized"), F.count(F.lit(1)).alias("n_either"), couples.alias("pairs"))
+
+
+def value_counts(rows: DataFrame, key: str) -> DataFrame:
+    """``key, n``, most frequent first, names deciding ties."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_first(key))
+
+
+def numbered(rows: DataFrame, *order: str, prefix: str = "row-", digits: int = 6) -> DataFrame:
+    """Adds ``row_id``, the padded place in ``order`` from one.
+
+    Rows are sorted by ranges, so no task sees them all: a row's place is its place in its range and the counts of the
+    ranges before. The ranges are written first, so that they are drawn once.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    starts = sizes.select("_range", before.alias("_before"))
+    placed = ranged.withColumn("_w", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(F.broadcast(starts), "_range")
+    place = (F.col("_w") + F.col("_before")).cast("string")
+    return placed.withColumn("row_id", F.concat(F.lit(prefix), F.when(F.length(place) < digits, F.lpad(place, digits, "0")).otherwise(place))).drop("_range", "_w", "_before")

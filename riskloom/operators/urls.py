@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import Duck, Spark
+from ..sources.tables import written
 from .messages import level_sql
 
 BRACKET, BRACKETED = r"^\[", r"^\[([^\]]*)\]"
@@ -196,6 +197,26 @@ def url_facts(indicators: DataFrame, key: str = "url_id") -> DataFrame:
     return indicators.select(key, F.explode(facts).alias("f")).select(key, "f.*").where("points is not null")
 
 
+def identity(parts: DataFrame) -> DataFrame:
+    """Adds ``url_key`` (host and path in lower case; null without a host) and ``domain_key`` (registrable root) to ``url_parts``.
+
+    Links with equal keys are the same for matching, whatever their scheme, query or case.
+    """
+    seen = F.col("host") != ""
+    return parts.withColumn("url_key", F.when(seen, F.concat("host", F.lower("path")))).withColumn("domain_key", F.when(seen, F.col("root")))
+
+
+def brand_evidence(found: DataFrame, key: str = "url_id") -> DataFrame:
+    """``key, brand, finding, expected`` for links that name or resemble a brand whose domain they are not.
+
+    ``finding`` is ``named`` or ``lookalike``, ``expected`` the brand's own domains, sorted, comma-joined. ``found`` is ``url_indicators``' result.
+    """
+    expected = F.coalesce(*(F.when(F.col("brand") == t, F.lit(",".join(sorted(dom)))) for t, dom, _, _ in rules.BRANDS))
+    plain = written(found.select(key, "brand", "typo"), "brands")  # the tests for brands are long expressions, used several times below
+    hits = plain.select(key, F.coalesce("brand", "typo").alias("brand"), F.when(F.col("brand").isNotNull(), "named").otherwise("lookalike").alias("finding"))
+    return hits.where("brand is not null").withColumn("expected", expected)
+
+
 def combined_sql(d, message: str, url: str) -> str:
     """Message and best link together: the weaker takes up to seven tenths of what the stronger leaves."""
     high, low = f"greatest({message}, {url})", f"least({message}, {url})"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_plans, intel_plans, message_plans, payment_plans, url_plans
+from . import data_plans, intel_plans, message_plans, payment_plans, url_plans, verdict_plans
 
-MODULES = [message_plans, url_plans, payment_plans, data_plans, intel_plans]
+MODULES = [message_plans, url_plans, payment_plans, data_plans, intel_plans, verdict_plans]
 
 
 def queries() -> dict:

@@ -61,3 +61,31 @@ def intake(items: DataFrame) -> DataFrame:
     table = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
     known = F.get(F.map_values(F.map_filter(table, lambda k, v: k == F.lower(F.trim("type")))), F.lit(0))
     return items.withColumn("kind", F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "error").when(F.coalesce(F.trim("type"), F.lit("")) == "", F.expr(input_type_sql(Spark))).otherwise(F.coalesce(known, F.lit("error"))))
+
+
+def concatenated(*sources: DataFrame) -> DataFrame:
+    """Labelled sources as one table; a column that a source lacks is null in its rows."""
+    out = sources[0]
+    for rows in sources[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def training_records(rows: DataFrame) -> DataFrame:
+    """``text, label, category`` as classifiers take them; nulls read as empty, a missing category as ``other`` (``safe`` for safe texts)."""
+    label = F.lower(F.trim(F.coalesce("scam_or_safe", F.lit(""))))
+    kind = F.trim(F.coalesce("scam_type", F.lit("")))
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), label.alias("label"), F.when(kind != "", kind).when(label == "safe", "safe").otherwise("other").alias("category"))
+
+
+def expanded(templates: DataFrame, **values: list[str]) -> DataFrame:
+    """Each template with each combination of the values of the marks ``{name}`` that it has, in column ``text``.
+
+    A template is multiplied only by the marks that stand in it, and without marks stays as it is.
+    """
+    for name, options in values.items():
+        mark = "{" + name + "}"
+        listed = F.array(*map(F.lit, options)) if options else F.array().cast("array<string>")
+        filled = F.transform(listed, lambda v: F.replace(F.col("text"), F.lit(mark), v))
+        templates = templates.withColumn("text", F.explode(F.when(F.contains("text", F.lit(mark)), filled).otherwise(F.array("text"))))
+    return templates
