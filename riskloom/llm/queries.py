@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .common import documents, labels
+from .hard_negatives import OP11_SQL, op11
 from .licenses import op1
 from .lm_scoring import op7
+from .manifest import OP12_SQL, op12
 from .mixing import op4
 from .pii import op10
 from .piece_dropout import op6
@@ -34,10 +36,14 @@ def queries() -> dict:
         "op6_piece_dropout": lambda spark, sf_dir: op6(documents(spark, sf_dir)),
         "op10_pii": lambda spark, sf_dir: op10(documents(spark, sf_dir)),
         "op9_quality_rules": lambda spark, sf_dir: op9(documents(spark, sf_dir)),
+        "op11_hard_negatives": lambda spark, sf_dir: op11(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op12_merkle_manifest": lambda spark, sf_dir: op12(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op9_quality_rules": OP9_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_merkle_manifest": OP12_SQL,
     }
