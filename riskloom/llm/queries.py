@@ -11,6 +11,7 @@ from .mixing import op4
 from .pii import op10
 from .piece_dropout import op6
 from .quality import OP9_SQL, op9
+from .quality_classifier import op13
 from .simhash import op5
 from .sketches import op8
 from .token_counts import op2
@@ -37,6 +38,7 @@ def queries() -> dict:
         "op10_pii": lambda spark, sf_dir: op10(documents(spark, sf_dir)),
         "op9_quality_rules": lambda spark, sf_dir: op9(documents(spark, sf_dir)),
         "op11_hard_negatives": lambda spark, sf_dir: op11(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op13_quality_classifier": lambda spark, sf_dir: op13(documents(spark, sf_dir), labels(spark, sf_dir)),
         "op12_merkle_manifest": lambda spark, sf_dir: op12(documents(spark, sf_dir)),
     }
 
