@@ -5,11 +5,12 @@ character n-grams of 3 to 5 code points, in lower case, each hashed to a bucket
 occurrences; two outputs on it pass a softmax. As the outputs are linear, a fitted model scores by one number a bucket.
 
 Training runs on Spark in rounds. The labelled rows are dealt to shards by the hash of their id; in a round every shard descends
-from the shared vectors, one row at a time, and hands back what it moved; a bucket's moves are averaged over the shards
-that moved it, in whole numbers, so the model does not depend on partitions or the order of sums. The driver holds the vectors
+from the shared vectors, one row at a time and over its rows several times, and hands back what it moved; a bucket's moves are averaged over the
+shards that moved it, in whole numbers, so the model does not depend on partitions or the order of sums. The driver holds the vectors
 (a few megabytes, whatever the table) and never a text.
 
-Bound, a parameter: ``max_fit_rows`` labelled rows are learned from. Every text is scored, whole.
+Bound, a parameter: ``max_fit_rows`` labelled rows are learned from, an eighth of them in each task, which holds their features (three megabytes for a
+text that has them all). Every text is scored, whole.
 
 Defined cases. A null text counts as empty, and an empty one gets the score of the outputs' offsets. Labels other than 0 and 1 and null ids
 teach nothing; of several labels of an id the highest counts; of several texts of one id one is learned from (the one of the least
@@ -19,6 +20,7 @@ there is any. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +38,9 @@ DIM = 8
 PIECE = 1 << 20
 THRESHOLD = 0.3
 #: A move of one is so many in the whole numbers that shards hand back.
-UNIT = float(1 << 32)
+UNIT = float(1 << 24)
+#: Buckets whose moves stand in one row.
+BLOCK = 4096
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
@@ -135,64 +139,69 @@ def descend(model: Model, rows, rates) -> tuple[Model, np.ndarray]:
     return Model(vectors, outputs, offsets), moved
 
 
-_MOVES = ", ".join(["bucket int", "n int", *(f"d{k} long" for k in range(DIM))])
+_MOVES = "block int, n binary, moves binary"
 
 
-def _round(rows: DataFrame, model: Model, number: int, rounds: int, passes: int, in_shard: float, rate: float) -> Model:
+def _packed(model: Model) -> np.ndarray:
+    """Vectors, outputs and offsets as one table of rows of ``DIM``, filled up to whole blocks."""
+    rows = np.concatenate([model.vectors, model.outputs, np.pad(model.offsets, (0, DIM - 2))[None]]).astype(np.float64)
+    return np.pad(rows, ((0, -len(rows) % BLOCK), (0, 0)))
+
+
+def _unpacked(rows: np.ndarray) -> Model:
+    rows = rows.astype(np.float32)
+    return Model(rows[:BUCKETS], rows[BUCKETS:BUCKETS + 2], rows[BUCKETS + 2, :2])
+
+
+def _round(rows: DataFrame, model: Model, number: int, rounds: int, passes: int, rate: float) -> Model:
     """The shared model after every shard's passes over its rows."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    def shard(found, seen: list[int]):
-        def rates():
-            while True:
-                done = min(1.0, seen[0] / max(1.0, passes * in_shard))
-                seen[0] += 1
-                yield rate * (1 - (number + done) / (rounds + 1))
-
-        before = shared.value
-        after, moved = descend(before, found, rates())
-        at = np.flatnonzero(moved)
-        tail = lambda m: np.concatenate([m.outputs, np.pad(m.offsets, (0, DIM - 2))[None]])
-        moves = np.rint(np.concatenate([after.vectors[at] - before.vectors[at], tail(after) - tail(before)]).astype(float) * UNIT).astype(np.int64)
-        buckets = np.concatenate([at, BUCKETS + np.arange(3)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.ones(len(buckets), np.int32)), *(pa.array(moves[:, k].copy()) for k in range(DIM))], ["bucket", "n", *(f"d{k}" for k in range(DIM))])
+    def shard(found: list):
+        steps = passes * len(found)
+        rates = (rate * (1 - (number + i / max(1, steps)) / (rounds + 0.5)) for i in range(steps))
+        after, moved = descend(shared.value, (r for _ in range(passes) for r in found), rates)
+        moves = np.clip(np.rint((_packed(after) - _packed(shared.value)) * UNIT), -(2**31) + 1, 2**31 - 1).astype(np.int32)
+        moved = np.pad(np.concatenate([moved, np.ones(3, dtype=bool)]), (0, len(moves) - BUCKETS - 3))
+        for k in range(0, len(moves), BLOCK):
+            own = moves[k:k + BLOCK].view(np.uint8).reshape(-1, 4).T  # the bytes of one place together, so that they shrink
+            yield k // BLOCK, moved[k:k + BLOCK].tobytes(), zlib.compress(own.tobytes(), 1)
 
     def run(batches):
-        def read():
-            for b in batches:
-                for s, y, own, share in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                    yield s, (own.values.to_numpy(), share.values.to_numpy(), y)
-
-        stream = read()
-        ahead = next(stream, None)
-        while ahead is not None:
-            at = ahead[0]
-
-            def own():
-                nonlocal ahead
-                while ahead is not None and ahead[0] == at:
-                    yield ahead[1]
-                    ahead = next(stream, None)
-
-            if passes == 1:
-                yield shard(own(), [0])
-            else:  # so few rows that they are held
-                held = list(own())
-                yield shard((r for _ in range(passes) for r in held), [0])
-
-    order = F.xxhash64("id", F.lit(number))
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", order).select("shard", "y", "buckets", "shares")
-    moves = dealt.mapInArrow(run, _MOVES).groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(f"d{k}").alias(f"d{k}") for k in range(DIM))).toArrow()  # a row a bucket at most
-    at, n = moves.column("bucket").to_numpy(), moves.column("n").to_numpy()
-    step = np.stack([moves.column(f"d{k}").to_numpy() for k in range(DIM)], axis=1) / UNIT / n[:, None]
-    whole = np.concatenate([model.vectors, model.outputs, np.pad(model.offsets, (0, DIM - 2))[None]])
-    whole[at] += step.astype(np.float32)
-    return Model(whole[:BUCKETS], whole[BUCKETS:BUCKETS + 2], whole[BUCKETS + 2, :2])
+        at, held = None, []
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*shard(held)), (pa.int32(), pa.binary(), pa.binary()))], ["block", "n", "moves"])
+
+        for b in batches:
+            for s, y, text in zip(*(c.to_pylist() for c in b.columns)):
+                if s != at and held:
+                    yield done()
+                    held = []
+                at = s
+                held.append((*shares(text), y))
+        if held:
+            yield done()
+
+    def mean(table: pa.Table) -> pa.Table:
+        moves, n = np.zeros((BLOCK, DIM), dtype=np.int64), np.zeros(BLOCK, dtype=np.int64)
+        for own, packed in zip(table.column("n").to_pylist(), table.column("moves").to_pylist()):
+            moves += np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(BLOCK, DIM)
+            n += np.frombuffer(own, dtype=bool)
+        step = moves / UNIT / np.maximum(n, 1)[:, None]
+        return pa.table({"block": pa.array(table.column("block").to_pylist()[:1], pa.int32()), "step": pa.array([step.astype(np.float32).tobytes()], pa.binary())})
+
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64("id", F.lit(number)), "id").select("shard", "y", "text")
+    steps = dealt.mapInArrow(run, _MOVES).groupBy("block").applyInArrow(mean, "block int, step binary").toArrow()  # the size of the model
+    whole = _packed(model)
+    for k, step in zip(steps.column("block").to_pylist(), steps.column("step").to_pylist()):
+        whole[k * BLOCK:(k + 1) * BLOCK] += np.frombuffer(step, dtype=np.float32).reshape(BLOCK, DIM)
+    return _unpacked(whole)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] | None = (5, 0),
-          max_fit_rows: int = 20_000, shards: int = 8, rounds: int = 6, least_steps: int = 12_000, rate: float = 0.5) -> Model:
+          max_fit_rows: int = 20_000, shards: int = 8, rounds: int = 2, least_steps: int = 12_000, rate: float = 0.5) -> Model:
     """Learns from the rows of ``docs`` that ``labels`` marks 0 or 1; ``held_out`` (modulus, remainder) keeps ids out by their crc32.
 
     Where more ids are labelled than ``max_fit_rows``, an even share of them by hash is taken. Few rows are gone over more often, until
@@ -212,18 +221,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one = texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     shards = max(1, min(shards, total // 500))
 
-    def vectors(batches):
-        for b in batches:
-            found = [shares(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["id", "y", "buckets", "shares"])
-
-    kind = dict(docs.dtypes)[id_col]
-    rows = stored(one.mapInArrow(vectors, f"id {kind}, y int, buckets array<int>, shares array<float>").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards))), "quality-features")
+    rows = stored(one.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards))), "quality-texts")
     n = rows.count()
     passes = max(1, -(-least_steps * shards // (max(1, n) * rounds)))
     model = start()
     for r in range(rounds if n else 0):
-        model = _round(rows, model, r, rounds, passes, n / shards, rate)
+        model = _round(rows, model, r, rounds, passes, rate)
     return model
 
 
