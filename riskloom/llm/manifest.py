@@ -133,12 +133,12 @@ def proof(path: Column) -> Column:
     return digest(F.concat_ws("", F.flatten(F.transform(path, lambda s: F.array(s["before"], s["after"])))))
 
 
-def manifest(docs: DataFrame, fields: list[str], text_col: str = "text", tampered: Column = F.lit(False)) -> DataFrame:
+def manifest(docs: DataFrame, fields: list[str], text_col: str = "text", tampered: Column | None = None) -> DataFrame:
     """``id, source, leaf, subroot, root, proof_sha256, folded_root, verified`` of every row, and its ``path``.
 
     ``fields`` are hashed into the leaf; the first one orders a source's leaves, the second is the source.
     """
-    found = stored(leaves(docs, fields, text_col, tampered), "leaves")
+    found = stored(leaves(docs, fields, text_col, F.lit(False) if tampered is None else tampered), "leaves")
     rows = found.count()
     nodes = numbered(found.withColumn("digest", F.col("leaf")), ["source"], [F.asc_nulls_first("id"), F.asc("leaf"), F.asc("folded")], rows)
     below = stored(paths(nodes, ["source"], ["id", "folded"]).withColumn("key", F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("n"))), "paths")
