@@ -72,7 +72,7 @@ def _components(ids, fps, bits):
 
 def test_every_query_is_registered():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
 def test_simhash_matches_brute_force(docs, texts):
