@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = lambda most: F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / total))
     counted = F.broadcast(known.where(share(max_count_rows)))  # bounded by max_count_rows
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    training = text.join(counted, "id").select("text", "toxic", "id")
+    training = stored(text.join(counted, "id").select("text", "toxic", "id"), "labelled-texts")  # the table is scanned once, by as many tasks as it has
     counts = stored(_count(training.select("text", "toxic")), "ngram-counts")
     n = training.groupBy("toxic").count().collect()
     n_of = {r["toxic"]: r["count"] for r in n}
