@@ -15,6 +15,7 @@ from ..functions import rules
 from ..functions.dialect import Spark
 from ..sources.files import intake
 from ..sources.tables import written
+from . import chains as C
 from . import messages as M
 from . import payments as P
 from . import urls as U
@@ -147,3 +148,11 @@ def chain_indicators(staged: DataFrame) -> DataFrame:
     counts = staged.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_stages"), F.count_if("is_suspicious").alias("n_flagged"))
     names = merged_indicators(listed, "chain_id", "idx")
     return counts.join(names, "chain_id", "left").withColumn("indicators", F.coalesce("indicators", F.expr("CAST(array() AS ARRAY<STRING>)")))
+
+
+def chain_verdicts(artefacts: DataFrame) -> DataFrame:
+    """From ``chain_id, idx, type, content`` to one verdict for each chain: pattern, score, class and all its indicators in order."""
+    staged = written(stages(artefacts), "stages")
+    signalled = C.with_signals(staged)
+    scores = C.chain_scores(signalled, C.edges(signalled))
+    return scores.join(chain_indicators(staged).select("chain_id", "indicators"), "chain_id")

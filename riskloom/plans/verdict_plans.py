@@ -56,10 +56,7 @@ def _stages(s, d):
 
 
 def _chain_verdicts(s, d):
-    stages = _stages(s, d)
-    signalled = C.with_signals(stages)
-    scores = C.chain_scores(signalled, C.edges(signalled))
-    return scores.join(V.chain_indicators(stages).select("chain_id", F.array_join("indicators", ",").alias("indicators")), "chain_id")
+    return V.chain_verdicts(read(s, d, _ARTEFACTS, "conversations")).withColumn("indicators", F.array_join("indicators", ","))
 
 
 def _answers(s, d):
@@ -119,7 +116,7 @@ def _names(prefix: str, names, guarded: tuple = ()) -> str:
     return f"concat_ws(',', {', '.join(cases)})"
 
 
-def _scored_ctes(rows: str) -> str:
+def scored_ctes(rows: str) -> str:
     """``parts``: every scored row of ``rows`` (``item_id, kind, content, content_type``)."""
     found = f"list_filter(list_transform(regexp_extract_all(content, '{M.URL_PATTERN}'), lambda u: regexp_replace(u, '{M.URL_TRAILER}', '')), lambda u: u <> '')"
     return f"""routed AS ({rows}), {M.oracle_ctes("SELECT item_id AS msg_id, '' AS lang, content AS text FROM routed WHERE content_type = 'text'")},
@@ -134,17 +131,18 @@ def _scored_ctes(rows: str) -> str:
         FROM routed r LEFT JOIN text_scores t ON r.item_id = t.item_id LEFT JOIN link_scores l ON r.item_id = l.item_id LEFT JOIN pay_scores p ON r.item_id = p.item_id)"""
 
 
-def _routed(items: str) -> str:
+def routed_sql(items: str) -> str:
     known = ", ".join(f"('{a}', '{k}')" for a, k in ALIASES.items())
     return f"""SELECT item_id, kind, CASE WHEN kind = 'message' THEN content ELSE payload END AS content, CASE kind WHEN 'message' THEN 'text' WHEN 'url' THEN 'url' WHEN 'error' THEN NULL ELSE {P.content_type_sql(Duck)} END AS content_type
       FROM (SELECT item_id, content, trim(content) AS payload, CASE WHEN trim(coalesce(content, '')) = '' THEN 'error' WHEN trim(coalesce(type, '')) = '' THEN {P.input_type_sql(Duck)} WHEN k.kind IN ('message', 'url', 'upi', 'qr') THEN k.kind ELSE 'error' END AS kind
         FROM ({items}) i LEFT JOIN (VALUES {known}) AS k(alias, kind) ON lower(trim(i.type)) = k.alias)"""
 
 
-_VERDICTS = f"""WITH {_scored_ctes(_routed(_items_sql(Duck)))}, verdicts AS (SELECT item_id, kind, CASE WHEN kind = 'error' THEN 'ERROR' WHEN kind IN ('qr', 'upi') THEN 'DECODED' ELSE 'ANALYSED' END AS status, content_type, risk_score, risk_level, is_suspicious,
+SCORED_VERDICTS = """SELECT item_id, kind, CASE WHEN kind = 'error' THEN 'ERROR' WHEN kind IN ('qr', 'upi') THEN 'DECODED' ELSE 'ANALYSED' END AS status, content_type, risk_score, risk_level, is_suspicious,
     CASE WHEN kind = 'error' THEN NULL WHEN kind = 'message' OR kind = 'qr' AND content_type = 'text' THEN category WHEN NOT is_suspicious THEN 'safe' WHEN kind = 'upi' OR content_type = 'upi' THEN 'upi_payment' WHEN content_type = 'url' THEN 'phishing' ELSE 'other' END AS scam_type,
-    confidence, concat_ws(',', context, nullif(names, '')) AS indicators FROM parts)"""
-_CONTAINERS = f"""WITH {_scored_ctes(f"SELECT CAST(container AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS item_id, 'qr' AS kind, trim(coalesce(payload, '')) AS content, {P.content_type_sql(Duck)} AS content_type FROM ({_payloads_sql(Duck)})")},
+    confidence, concat_ws(',', context, nullif(names, '')) AS indicators FROM parts"""
+_VERDICTS = f"WITH {scored_ctes(routed_sql(_items_sql(Duck)))}, verdicts AS ({SCORED_VERDICTS})"
+_CONTAINERS = f"""WITH {scored_ctes(f"SELECT CAST(container AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS item_id, 'qr' AS kind, trim(coalesce(payload, '')) AS content, {P.content_type_sql(Duck)} AS content_type FROM ({_payloads_sql(Duck)})")},
     placed AS (SELECT *, CAST(split_part(item_id, ':', 1) AS BIGINT) AS container, CAST(split_part(item_id, ':', 2) AS BIGINT) AS pos FROM parts),
     folds AS (SELECT container, count(*) AS n_payloads, min_by(content_type, pos) AS primary_type, max(confidence) AS confidence,
       list_reduce(list_transform(list(risk_score ORDER BY risk_score DESC), lambda x: CAST(x AS DOUBLE)), lambda a, b: a + (100 - a) * b / 100 * CAST(0.7 AS DOUBLE)) AS score FROM placed GROUP BY container),
@@ -153,7 +151,7 @@ _CONTAINERS = f"""WITH {_scored_ctes(f"SELECT CAST(container AS VARCHAR) || ':'
     SELECT f.container, n_payloads, primary_type, round_even(score, 6) AS score, CAST(round_even(round_even(score, 6), 0) AS INT) AS risk_score, {M.level_sql('round_even(score, 6)')} AS risk_level, round_even(score, 6) >= 50 AS is_suspicious, confidence, coalesce(indicators, '') AS indicators
     FROM folds f LEFT JOIN named n ON f.container = n.container"""
 _STAGED = f"""SELECT CAST(split_part(item_id, ':', 1) AS BIGINT) AS chain_id, CAST(split_part(item_id, ':', 2) AS BIGINT) AS idx, kind AS type, risk_score, is_suspicious, category AS scam_type, replace(names, ',', ' ') AS indicators, url, payee, words AS content FROM parts WHERE kind <> 'error'"""
-_PROMOTED = _scored_ctes(_routed(f"SELECT CAST(chain_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR) AS item_id, type, content FROM ({duck(_ARTEFACTS)})"))
+_PROMOTED = scored_ctes(routed_sql(f"SELECT CAST(chain_id AS VARCHAR) || ':' || CAST(idx AS VARCHAR) AS item_id, type, content FROM ({duck(_ARTEFACTS)})"))
 _DATASET = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.DATASET_CATEGORY.items()) + " ELSE 'other' END"
 _FOUND = f"list_distinct(list_filter(list_transform(regexp_extract_all(text, '{M.URL_PATTERN}'), lambda u: regexp_replace(u, '{M.URL_TRAILER}', '')), lambda u: u <> ''))"
 _ANSWERS = f"""WITH rows_ AS ({_EVALUATED}), {M.oracle_ctes('SELECT id AS msg_id, language AS lang, text FROM rows_')}, mentions AS (SELECT id, unnest({_FOUND}) AS url FROM rows_),

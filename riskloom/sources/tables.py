@@ -5,18 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that the cluster shares: what reads it starts from a plain scan."""
-    spark = df.sparkSession
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+_KINDS |= {f"array<{k}>": T.ArrayType(v) for k, v in _KINDS.items()}
+
+
+def schema_of(columns: str, **nested: T.DataType) -> T.StructType:
+    """A schema from ``name kind, name kind``, before there is a session; ``nested`` gives further kinds."""
+    kinds = _KINDS | nested
+    return T.StructType([T.StructField(*(kinds[x] if i else x for i, x in enumerate(c.split()))) for c in columns.split(",")])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a local session without one gets a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/riskloom/{name}-{uuid.uuid4().hex}"
+    return shared
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder that the cluster shares: what reads it starts from a plain scan."""
+    path = f"{shared_folder(df.sparkSession)}/riskloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
