@@ -98,19 +98,29 @@ def _fires(name: str) -> str:
     return f"CAST(s_{name} IS NOT NULL AS INT)"
 
 
+def bonus_sql() -> str:
+    """Tenths added where an offer or a claimed identity comes with demands for money."""
+    money, family = (" + ".join(_fires(x) for x in xs) for xs in (rules.MONEY, rules.FAMILY))
+    return f"CASE WHEN ({family}) = 0 OR ({money}) = 0 THEN 0 WHEN ({money}) = 1 THEN 180 WHEN ({money}) = 2 THEN 260 ELSE 320 END"
+
+
+def guard_sql() -> str:
+    """Whether a text is an ordinary confirmation without pressure."""
+    return "(transactional AND NOT (" + " OR ".join(f"s_{x} IS NOT NULL" for x in rules.PRESSURE) + "))"
+
+
+def guarded_sql() -> str:
+    """Tenths that such a text loses: its weak signs and some more."""
+    return "400 + " + " + ".join(_tenths(x) for x in rules.WEAK)
+
+
 def _score_sql(d) -> list[str]:
     total = " + ".join(_tenths(x) for x in INDICATORS)
     pairs = " + ".join(f"CASE WHEN s_{a} IS NOT NULL AND s_{b} IS NOT NULL THEN {10 * p} ELSE 0 END" for a, b, p in rules.MESSAGE_PAIRS)
-    money = " + ".join(_fires(x) for x in rules.MONEY)
-    family = " + ".join(_fires(x) for x in rules.FAMILY)
-    bonus = f"CASE WHEN ({family}) = 0 OR ({money}) = 0 THEN 0 WHEN ({money}) = 1 THEN 180 WHEN ({money}) = 2 THEN 260 ELSE 320 END"
-    pressed = " OR ".join(f"s_{x} IS NOT NULL" for x in rules.PRESSURE)
-    guarded = f"(transactional AND NOT ({pressed}))"
-    weak = " + ".join(_tenths(x) for x in rules.WEAK)
-    raw = f"{total} + {pairs} + {bonus} - CASE WHEN safe_part THEN 180 ELSE 0 END - CASE WHEN {guarded} THEN 400 + {weak} ELSE 0 END"
+    raw = f"{total} + {pairs} + {bonus_sql()} - CASE WHEN safe_part THEN 180 ELSE 0 END - CASE WHEN {guard_sql()} THEN {guarded_sql()} ELSE 0 END"
     fired = " + ".join(_fires(x) for x in INDICATORS)
-    left = f"({fired}) - CASE WHEN {guarded} THEN {' + '.join(_fires(x) for x in rules.WEAK)} ELSE 0 END"
-    return [f"greatest(0, least(1000, {raw})) AS raw10", f"{left} AS n_fired", f"{guarded} AS guarded"]
+    left = f"({fired}) - CASE WHEN {guard_sql()} THEN {' + '.join(_fires(x) for x in rules.WEAK)} ELSE 0 END"
+    return [f"greatest(0, least(1000, {raw})) AS raw10", f"{left} AS n_fired", f"{guard_sql()} AS guarded"]
 
 
 def level_sql(score: str) -> str:

@@ -187,8 +187,13 @@ def distinct_urls(urls: DataFrame) -> DataFrame:
     return _through(url_indicators(urls.select("url").where("url is not null").distinct()), score_steps(Spark))
 
 
+def scored(indicators: DataFrame) -> DataFrame:
+    """``url_indicators``' result with scores."""
+    return _through(indicators, score_steps(Spark))
+
+
 def url_scores(urls: DataFrame) -> DataFrame:
-    return _through(url_indicators(urls), score_steps(Spark))
+    return scored(url_indicators(urls))
 
 
 def url_facts(indicators: DataFrame, key: str = "url_id") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_plans, intel_plans, live_plans, message_plans, payment_plans, url_plans, verdict_plans
+from . import data_plans, explain_plans, intel_plans, live_plans, message_plans, payment_plans, url_plans, verdict_plans
 
-MODULES = [message_plans, url_plans, payment_plans, data_plans, intel_plans, verdict_plans, live_plans]
+MODULES = [message_plans, url_plans, payment_plans, data_plans, intel_plans, verdict_plans, live_plans, explain_plans]
 
 
 def queries() -> dict:

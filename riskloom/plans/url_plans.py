@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Duck, Spark
+from ..operators import lookalikes as L
 from ..operators import messages as M
 from ..operators import urls as U
 from .fixtures import MESSAGES, URLS, duck, read
@@ -37,6 +38,8 @@ QUERIES = {
     "url_indicator_facts": lambda spark, sf_dir: U.url_facts(U.url_indicators(_urls(spark, sf_dir))),
     "url_scores": lambda spark, sf_dir: U.url_scores(_urls(spark, sf_dir)).select(*_SCORES),
     "message_url_combined": _combined,
+    "brand_lookalikes": lambda spark, sf_dir: L.found(U.url_parts(_urls(spark, sf_dir)).select("url_id", "host"), L.brands(spark)),
+    "url_scores_by_brand_table": lambda spark, sf_dir: L.with_brands(_urls(spark, sf_dir), L.brands(spark)).select(*_SCORES),
 }
 
 _FACTS = " UNION ALL ".join(f"SELECT url_id, '{x}' AS indicator, p_{x} AS points FROM i WHERE p_{x} IS NOT NULL" for x in U.INDICATORS)
@@ -45,6 +48,8 @@ ORACLE = {
     "url_parts": f"SELECT {', '.join(_PARTS)} FROM ({U.oracle_parts(duck(URLS))})",
     "url_indicator_facts": f"WITH i AS ({U.oracle_indicators(duck(URLS))}) {_FACTS}",
     "url_scores": f"SELECT {', '.join(_SCORES)} FROM ({U.oracle_scores(duck(URLS))})",
+    "brand_lookalikes": L.oracle(f"SELECT url_id, host FROM ({U.oracle_parts(duck(URLS))})"),
+    "url_scores_by_brand_table": f"SELECT {', '.join(_SCORES)} FROM ({U.oracle_scores(duck(URLS))})",
     "message_url_combined": f"""WITH {M.oracle_ctes(MESSAGES)}, mentions AS (SELECT msg_id, unnest({_FOUND}) AS url FROM messages),
       scored_urls AS ({U.oracle_scores('SELECT DISTINCT url FROM mentions')}),
       best AS (SELECT msg_id, max(risk_score) AS url_score, count(*) AS n_urls FROM mentions m JOIN scored_urls s ON m.url = s.url GROUP BY msg_id)
