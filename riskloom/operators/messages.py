@@ -1,12 +1,13 @@
 """Message risk: lexicon hits, indicators with severities, scores and categories.
 
-Terms meet texts in a broadcast hash join on a term's first word, so a text is compared only with terms that can
-occur in it; the whole term is then checked in place. Terms in Devanagari are looked for as substrings, in texts of
-that script only. Scores are kept in tenths, so sums are exact in any order.
+Terms meet runs of a text's words in an equi-join; terms in Devanagari, which may stand anywhere, meet pieces of texts of
+that script. A text is cut up once, so the work follows its length. Scores are kept in tenths, so sums are exact in any order.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +34,73 @@ def urls_in(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda u: F.regexp_replace(u, URL_TRAILER, "")), lambda u: u != ""))
 
 
+def _pieces(text: Column) -> Column:
+    """A text cut into its words and what stands between them."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(pieces: Column, widths, begins=None) -> Column:
+    """Distinct runs of pieces, so many pieces long, from every piece that ``begins`` allows."""
+    def runs(p):
+        places = F.sequence(F.lit(1), F.size(p))
+        if begins is not None:
+            places = F.filter(places, lambda i: begins(F.element_at(p, i)))
+        found = F.flatten(F.transform(places, lambda i: F.array(*(F.array_join(F.slice(p, i, n), "") for n in widths))))
+        return F.when(F.size(p) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return _once(pieces, runs)
+
+
 def lexicon_hits(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """``msg_id, list, ord`` for each term of the lexicon that a message has."""
+    """``msg_id, list, ord`` for each term of the lexicon that a message has.
+
+    A term that begins and ends with a word character meets runs of a text's words, exactly as many as it has itself, by an equi-join;
+    any other, and any in Devanagari, meets pieces of its greatest length at the places where its first two characters stand. A text is cut up once, in
+    one pass, and never travels beside its pieces. What a lexicon of moderate size begins with is known in every task, so that only
+    such places are joined; with a larger one all are.
+    """
     lexicon = rules.lexicon(messages.sparkSession) if lexicon is None else lexicon
-    texts = messages.select("msg_id", normalized(F.col("text")).alias("norm"))
-    words = texts.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))))
-    small = lexicon.limit(_BROADCAST_TERMS + 1).count() <= _BROADCAST_TERMS
+    terms = lexicon.select("list", "ord", "term", "anchor", (F.col("deva") | ~F.col("term").rlike(r"^[\p{L}\p{N}_](?s:.*[\p{L}\p{N}_])?$")).alias("inside"), F.col("deva")).where("term <> ''")
+    known = terms.limit(_BROADCAST_TERMS + 1).collect()
+    small = len(known) <= _BROADCAST_TERMS
     sized = F.broadcast if small else (lambda table: table)
-    latin = sized(lexicon.where("not deva"))
-    bounded = F.expr(r"norm rlike concat('(?<![\\p{L}\\p{N}_])\\Q', term, '\\E(?![\\p{L}\\p{N}_])')")
-    by_word = words.join(latin, F.col("word") == F.col("anchor")).where((F.col("term") == F.col("word")) | (F.col("norm").contains(F.col("term")) & bounded))
-    # A term that may stand anywhere is met by its first two characters.
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 1)), lambda i: F.substring("norm", i, F.lit(2))))
-    script = texts.where(F.col("norm").rlike(r"[ऀ-ॿ]")).withColumn("start", F.explode(F.filter(starts, lambda x: x.rlike(r"[ऀ-ॿ]"))))
-    parts = sized(lexicon.where("deva").select("list", "ord", "term", F.substring("term", 1, 2).alias("start")))
-    by_part = script.join(parts, "start").where(F.contains("norm", F.col("term"))).select("msg_id", "list", "ord")
-    return by_word.select("msg_id", "list", "ord").unionByName(by_part)
+    longest = terms.agg(F.max(F.when(~F.col("inside"), F.size(_pieces(F.col("term"))))).alias("pieces"), F.max(F.when(F.col("inside"), F.length("term"))).alias("chars")).first()
+    texts = messages.select("msg_id", normalized(F.col("text")).alias("norm"))
+    hits = []
+    if longest["pieces"]:
+        anchors = sorted({r["anchor"] for r in known if not r["inside"]})
+        widths = range(1, longest["pieces"] + 1, 2)
+        begins = (lambda piece: piece.isin(anchors)) if small else None
+        runs = texts.select("msg_id", F.explode(_windows(_pieces(F.col("norm")), widths, begins)).alias("term"))
+        hits.append(runs.join(sized(terms.where("not inside").select("list", "ord", "term")), "term").select("msg_id", "list", "ord"))
+    if longest["chars"]:
+        inside = [r for r in known if r["inside"]]
+        starts = sorted({r["term"][:2] for r in inside})
+        rows = texts.where(F.col("norm").rlike(r"[ऀ-ॿ]")) if small and all(r["deva"] for r in inside) else texts
+        most = longest["chars"]
+
+        def cut(c):
+            places = F.sequence(F.lit(1), F.size(c))
+            if small:
+                places = F.filter(places, lambda i: F.array_join(F.slice(c, i, 2), "").isin(starts) | F.element_at(c, i).isin(starts))
+            before = lambda i: F.when(i > 1, F.element_at(c, F.greatest(i - 1, F.lit(1)))).otherwise("")
+            return F.array_distinct(F.transform(places, lambda i: F.struct(before(i).alias("before"), F.array_join(F.slice(c, i, most + 1), "").alias("window"))))
+
+        rows = rows.where("norm <> ''").select("msg_id", F.explode(_once(F.split("norm", ""), cut)).alias("p"))
+        starting = terms.where("inside").select("list", "ord", "term", "deva", F.substring("term", 1, 2).alias("_start"))
+        own = rows.select("msg_id", "p.*", F.explode(F.array_distinct(F.array(F.substring("p.window", 1, 2), F.substring("p.window", 1, 1)))).alias("_start"))
+        word = r"^[\p{L}\p{N}_]$"
+        after = F.substring(F.col("window"), F.length("term") + 1, F.lit(1))
+        free = F.col("deva") | (~F.col("before").rlike(word) & ~after.rlike(word))
+        hits.append(own.join(sized(starting), "_start").where(F.startswith("window", F.col("term")) & free).select("msg_id", "list", "ord").distinct())
+    if not hits:
+        return messages.select("msg_id", F.lit("").alias("list"), F.lit(0).cast("long").alias("ord")).limit(0)
+    return hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
 
 
 def _any_part(d, text: str, parts) -> str:
@@ -67,6 +119,16 @@ def _flags_sql(d, terms: dict) -> list[str]:
     ]
 
 
+def _verbs_met(verbs) -> Column:
+    """How many verbs begin at a word of ``norm``: pieces that one may begin with are gathered once, then each verb looks at these."""
+    cut = [re.findall(r"[^\W]+|\W+", v) for v in verbs]
+    starts = sorted({c[0][:2] for c in cut})
+    begins = lambda piece: F.substring(piece, 1, 2).isin(starts) | F.substring(piece, 1, 1).isin(starts)
+    most = 2 * max(map(len, verbs), default=1)  # a piece has a character at least
+    heard = F.array(*map(F.lit, verbs))
+    return _once(_windows(_pieces(F.col("norm")), [most], begins), lambda met: F.size(F.filter(heard, lambda v: F.exists(met, lambda x: F.startswith(x, v)))))
+
+
 def _part_terms(lexicon: DataFrame | None) -> dict:
     """The lists that are looked for as parts: the lexicon's own, or the fixed ones where it has none of a list."""
     names, out = (*rules.PARTS, "safe_marker"), dict(rules.TERMS)
@@ -146,7 +208,8 @@ def indicators(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFra
     counts = hits.groupBy("msg_id").agg(*(F.count(F.when(F.col("list") == x, 1)).alias(f"n_{x}") for x in LISTS))
     own = messages.select("msg_id", "lang", F.col("text"), normalized(F.col("text")).alias("norm"))
     own = own.select("msg_id", "lang", F.exists(urls_in(F.col("text")), lambda u: u.rlike(BAD_URL)).alias("bad_url"), "norm")
-    own = own.selectExpr("msg_id", "lang", "bad_url", *_flags_sql(Spark, _part_terms(lexicon)))
+    parts = _part_terms(lexicon)
+    own = own.select("msg_id", "lang", "bad_url", _verbs_met(parts["otp_verb"]).alias("verbs"), *map(F.expr, _flags_sql(Spark, parts)[1:]))
     joined = own.join(counts, "msg_id", "left").fillna(0, [f"n_{x}" for x in LISTS])
     return joined.selectExpr("*", *_severity_sql())
 
