@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
+
 _TEMPLATES = (
     "URGENT: your bank account will be blocked today only. Update KYC at http://sbi-verify.example.tk/login",
     "Dear customer, share OTP and enter PIN to confirm your SBI debit card, call us on the helpline",
@@ -110,7 +112,7 @@ LABELLED = """SELECT d.doc_id AS id, d.text, d.lang AS language, CASE WHEN l.tox
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Registers the given parquet tables as views of their own names."""
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(name)
 
 
 def read(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

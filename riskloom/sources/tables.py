@@ -30,6 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores (a small table in one file) dealt out to all of them; any other as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the folder that the cluster shares: what reads it starts from a plain scan."""
     path = f"{shared_folder(df.sparkSession)}/riskloom/{name}-{uuid.uuid4().hex}"
