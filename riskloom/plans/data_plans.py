@@ -1,13 +1,11 @@
-"""Registered queries over labelled data, predictions, chains and presentations."""
+"""Registered queries over labelled data and presentations."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Spark  # noqa: F401
-from ..operators import chains as C
 from ..operators import classifier as K
-from ..operators import evaluation as E
 from ..operators import hygiene as H
 from ..operators import presentation as Z
 from ..operators import urls as U
@@ -15,15 +13,6 @@ from .fixtures import LABELLED, URLS, duck, read
 
 _T = ["documents", "labels"]
 _STRATA = ["label", "scam_type", "language"]
-_PRED = ("SELECT system, id, label, language, scam_type, CASE WHEN system = 'words' THEN CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'trash') THEN 'scam' ELSE 'safe' END "
-         "ELSE CASE WHEN length(text) % 5 = 0 THEN 'scam' ELSE 'safe' END END AS prediction FROM ({rows}) r, (VALUES ('words'), ('length')) AS s(system)")
-_STAGES = """SELECT conv_id AS chain_id, turn AS idx, CASE (conv_id + turn) % 4 WHEN 0 THEN 'message' WHEN 1 THEN 'url' WHEN 2 THEN 'upi' ELSE 'qr' END AS type,
-  CAST((conv_id * 37 + turn * 53) % 101 AS INT) AS risk_score, (conv_id * 37 + turn * 53) % 101 >= 50 AS is_suspicious,
-  CASE conv_id % 7 WHEN 0 THEN 'fake_kyc' WHEN 1 THEN 'prize_scam' WHEN 2 THEN 'loan' WHEN 3 THEN 'customer_care' WHEN 4 THEN 'job_scam' WHEN 5 THEN 'none' END AS scam_type,
-  CASE turn % 4 WHEN 0 THEN 'urgency' WHEN 1 THEN 'suspicious_keyword' WHEN 2 THEN 'otp_request' ELSE '' END AS indicators,
-  CASE WHEN (conv_id + turn) % 4 IN (0, 1, 3) AND conv_id % 3 > 0 THEN 'https://' || CASE WHEN turn % 2 = 0 THEN 'www.' ELSE '' END || 'site' || CAST(conv_id % 5 AS {text}) || '.example.com/login' END AS url,
-  CASE WHEN (conv_id + turn) % 4 IN (2, 3) THEN 'shop' || CAST(conv_id % 11 AS {text}) || '@upi' END AS payee, text AS content FROM conversations"""
-
 
 def _rows(s, d):
     return read(s, d, LABELLED, *_T)
@@ -33,19 +22,6 @@ def _split(s, d):
     return H.stratified_split(_rows(s, d), _STRATA)
 
 
-def _pred(s, d):
-    return read(s, d, _PRED.format(rows=LABELLED.format(text="STRING")), *_T)
-
-
-def _stages(s, d):
-    return C.with_signals(read(s, d, _STAGES, "conversations"))
-
-
-def _chains(s, d):
-    stages = _stages(s, d)
-    return C.chain_scores(stages, C.edges(stages))
-
-
 def _url_facts(s, d):
     return U.url_facts(U.url_indicators(read(s, d, URLS, "pages")))
 
@@ -67,13 +43,6 @@ QUERIES = {
     "label_problems": lambda s, d: H.validate(_rows(s, d).withColumn("label", F.when(F.col("id") % 10 == 0, "odd").otherwise(F.col("label"))), ["id", "text", "label"]).withColumnRenamed("count", "n"),
     "redacted_text": lambda s, d: read(s, d, "SELECT doc_id, text FROM documents", "documents").selectExpr("doc_id", f"{H.redaction_sql(False)} AS clean").selectExpr("doc_id", f"{H.shortened_sql('clean')} AS redacted"),
     "weak_category": lambda s, d: _rows(s, d).selectExpr("id", f"{H.WEAK_CATEGORY} AS category"),
-    "confusion_overall": lambda s, d: E.confusion(_pred(s, d), "system"),
-    "metrics_by_language": lambda s, d: E.confusion(_pred(s, d), "system", "language").where("n >= 5"),
-    "metrics_by_category": lambda s, d: E.by_category(_pred(s, d).where("system = 'words'")),
-    "error_examples": lambda s, d: E.examples(_pred(s, d)),
-    "chain_edges": lambda s, d: C.edges(_stages(s, d)),
-    "chain_scores": _chains,
-    "chain_patterns": lambda s, d: _chains(s, d).groupBy("pattern", "classification").count().withColumnRenamed("count", "n_chains"),
     "zone_counts": lambda s, d: Z.zones(U.url_scores(read(s, d, URLS, "pages"))).groupBy("zone").count().withColumnRenamed("count", "n_urls"),
     "factor_breakdown": lambda s, d: Z.factor_breakdown(_url_facts(s, d), "url_id"),
     "top_reasons": lambda s, d: Z.top_reasons(_url_facts(s, d), "url_id"),
@@ -83,10 +52,6 @@ QUERIES = {
 
 _L = duck(LABELLED)
 _SPLIT = f"(SELECT *, {H.SPLIT_SQL} AS split FROM (SELECT *, count(*) OVER (PARTITION BY label, scam_type, language) AS _n, row_number() OVER (PARTITION BY label, scam_type, language ORDER BY md5('42' || CAST(id AS VARCHAR)), id) AS _r FROM ({_L})))"
-_P = _PRED.format(rows=_L)
-_COUNTS = "count(*) AS n, " + ", ".join(f"count(CASE WHEN {t} THEN 1 END) AS {c}" for c, t in E.COUNTS.items())
-_R = ", ".join(E.RATES)
-_C = "WITH " + C.oracle_ctes(duck(_STAGES))
 
 
 def _overlap(key: str) -> str:
@@ -108,15 +73,6 @@ ORACLE = {
     "label_problems": f"SELECT 'odd' AS label, count(*) AS n FROM ({_L}) WHERE id % 10 = 0 HAVING count(*) > 0",
     "redacted_text": f"SELECT doc_id, {H.shortened_sql('clean')} AS redacted FROM (SELECT doc_id, {H.redaction_sql(True)} AS clean FROM documents)",
     "weak_category": f"SELECT id, {H.WEAK_CATEGORY} AS category FROM ({_L})",
-    "confusion_overall": f"SELECT *, {_R} FROM (SELECT system, {_COUNTS} FROM ({_P}) GROUP BY system)",
-    "metrics_by_language": f"SELECT *, {_R} FROM (SELECT system, language, {_COUNTS} FROM ({_P}) GROUP BY system, language) WHERE n >= 5",
-    "metrics_by_category": f"""WITH p AS (SELECT * FROM ({_P}) WHERE system = 'words') SELECT *, {_R} FROM (SELECT o.scam_type, count(*) AS n, count(CASE WHEN {E.COUNTS['tp']} THEN 1 END) AS tp, count(CASE WHEN {E.COUNTS['fn']} THEN 1 END) AS fn,
-      (SELECT count(*) FROM p q WHERE q.prediction = 'scam') - count(CASE WHEN prediction = 'scam' THEN 1 END) AS fp, (SELECT count(*) FROM p q WHERE q.prediction = 'safe') - count(CASE WHEN prediction = 'safe' THEN 1 END) AS tn
-      FROM p o GROUP BY o.scam_type) WHERE scam_type <> 'safe' AND n >= 5""",
-    "error_examples": f"""SELECT system, error, rank, id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY system, error ORDER BY id) AS INT) AS rank FROM (SELECT system, id, CASE WHEN label = 'scam' THEN 'false_negative' ELSE 'false_positive' END AS error FROM ({_P}) WHERE label <> prediction)) WHERE rank <= 3""",
-    "chain_edges": f"{_C} SELECT * FROM edges",
-    "chain_scores": f"{_C} SELECT * FROM chains",
-    "chain_patterns": f"{_C} SELECT pattern, classification, count(*) AS n_chains FROM chains GROUP BY pattern, classification",
     "zone_counts": f"SELECT zone, count(*) AS n_urls FROM (SELECT {Z.ZONE} AS zone FROM ({U.oracle_scores(duck(URLS))})) GROUP BY zone",
     "factor_breakdown": f"{_FACTED} SELECT url_id, factor, sum(points) AS contribution, string_agg(indicator, ',' ORDER BY indicator) AS indicators FROM (SELECT *, {Z.FACTOR} AS factor FROM facts) GROUP BY url_id, factor",
     "top_reasons": f"{_FACTED} SELECT url_id, string_agg(indicator, ',' ORDER BY r) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY points DESC, indicator) AS r FROM facts) WHERE r <= 10 GROUP BY url_id",

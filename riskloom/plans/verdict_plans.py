@@ -12,6 +12,7 @@ from ..operators import evaluation as E
 from ..operators import hygiene as H
 from ..operators import messages as M
 from ..operators import payments as P
+from ..operators import research as R
 from ..operators import urls as U
 from ..operators import verdicts as V
 from ..sources.files import ALIASES
@@ -73,14 +74,15 @@ def _answers(s, d):
         rows, rules=scores.select("id", said(F.col("risk_score")), "predicted_type"), combined=together.select("id", said(F.col("both")), "predicted_type")), "answers")
 
 
-def _evaluation_job(s, d):
-    """The whole evaluation: split, a classifier fitted on the training part, and rules and classifier held against the leakage-free test part."""
-    split = written(H.stratified_split(read(s, d, LABELLED, "documents", "labels"), ["label", "scam_type", "language"]), "split")
-    test = H.leakage_clean(split).select("id", "text", "language", "label", "scam_type")
-    texts = test.select(F.col("id").alias("msg_id"), F.col("language").alias("lang"), "text")
-    ruled = M.message_scores(M.indicators(texts)).select(F.col("msg_id").alias("id"), F.when(F.col("risk_score") >= 50, "scam").otherwise("safe").alias("prediction"))
-    model = K.predict(K.fit(split.where("split = 'train'")), test).select("id", "prediction")
-    return E.comparison(E.predictions(test, rules=ruled, classifier=model), ["rules", "classifier", "combined"])
+def _evaluation(s, d):
+    """The whole evaluation: split, the exact classifier fitted on the training part, and all tables of the test part."""
+    return R.run(_split_rows(s, d))
+
+
+def _chains(s, d):
+    """The stages of real sessions with their signals, and their edges."""
+    signalled = written(C.with_signals(_stages(s, d)), "signalled")
+    return signalled, C.edges(signalled)
 
 
 def _split_rows(s, d):
@@ -97,7 +99,14 @@ QUERIES = {
     "category_confusion": lambda s, d: E.category_confusion(_answers(s, d)),
     "system_comparison": lambda s, d: E.comparison(_answers(s, d), ["rules", "combined", "classifier"]),
     "prediction_outcomes": lambda s, d: E.outcomes(_answers(s, d)),
-    "evaluation_job": _evaluation_job,
+    "confusion_overall": lambda s, d: E.confusion(_answers(s, d), "system"),
+    "metrics_by_language": lambda s, d: E.confusion(_answers(s, d), "system", "language").where("n >= 5"),
+    "metrics_by_category": lambda s, d: E.by_category(_answers(s, d).where("system = 'combined'")),
+    "error_examples": lambda s, d: R.redacted_examples(_answers(s, d), read(s, d, _EVALUATED, "documents"), 3).select("system", "error", "rank", "id", "excerpt"),
+    "chain_edges": lambda s, d: _chains(s, d)[1],
+    "chain_scores": lambda s, d: C.chain_scores(*_chains(s, d)),
+    "chain_patterns": lambda s, d: C.chain_scores(*_chains(s, d)).groupBy("pattern", "classification").agg(F.count(F.lit(1)).alias("n_chains")),
+    "evaluation_job": lambda s, d: _evaluation(s, d)["comparison"],
     "leakage_totals": lambda s, d: H.leakage_totals(_split_rows(s, d)),
     "label_counts": lambda s, d: H.value_counts(read(s, d, LABELLED, "documents", "labels"), "scam_type"),
     "numbered_rows": lambda s, d: H.numbered(_split_rows(s, d).select("id", "split"), "split", "id"),
@@ -178,6 +187,18 @@ ORACLE = {
       SELECT c.system, category, count(*) AS n, count(CASE WHEN scam_type = category AND predicted_type = category THEN 1 END) AS tp, count(CASE WHEN scam_type = category AND predicted_type <> category THEN 1 END) AS fn,
         count(CASE WHEN scam_type <> category AND predicted_type = category THEN 1 END) AS fp, count(CASE WHEN scam_type <> category AND predicted_type <> category THEN 1 END) AS tn
       FROM cats c JOIN answers a ON c.system = a.system GROUP BY c.system, category""",
+    "confusion_overall": f"{_ANSWERS} {_CONFUSION}",
+    "metrics_by_language": f"{_ANSWERS} SELECT *, {', '.join(E.RATES)} FROM (SELECT system, language, {_COUNTS} FROM answers GROUP BY system, language) WHERE n >= 5",
+    "metrics_by_category": f"""{_ANSWERS}, p AS (SELECT * FROM answers WHERE system = 'combined') SELECT *, {', '.join(E.RATES)} FROM (SELECT o.scam_type, count(*) AS n, count(CASE WHEN {E.COUNTS['tp']} THEN 1 END) AS tp, count(CASE WHEN {E.COUNTS['fn']} THEN 1 END) AS fn,
+      (SELECT count(*) FROM p q WHERE q.prediction = 'scam') - count(CASE WHEN prediction = 'scam' THEN 1 END) AS fp, (SELECT count(*) FROM p q WHERE q.prediction = 'safe') - count(CASE WHEN prediction = 'safe' THEN 1 END) AS tn
+      FROM p o GROUP BY o.scam_type) WHERE scam_type <> 'safe' AND n >= 5""",
+    "error_examples": f"""{_ANSWERS}, wrong AS (SELECT system, error, rank, id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY system, error ORDER BY id) AS INT) AS rank
+        FROM (SELECT system, id, CASE WHEN label = 'scam' THEN 'false_negative' ELSE 'false_positive' END AS error FROM answers WHERE label <> prediction)) WHERE rank <= 3),
+      clean AS (SELECT id, {H.redaction_sql(True)} AS clean FROM rows_ WHERE id IN (SELECT id FROM wrong))
+      SELECT system, error, rank, w.id, {H.shortened_sql('clean')} AS excerpt FROM wrong w JOIN clean c ON w.id = c.id""",
+    "chain_edges": f"WITH {_PROMOTED}, {C.oracle_ctes(_STAGED)} SELECT * FROM edges",
+    "chain_scores": f"WITH {_PROMOTED}, {C.oracle_ctes(_STAGED)} SELECT * FROM chains",
+    "chain_patterns": f"WITH {_PROMOTED}, {C.oracle_ctes(_STAGED)} SELECT pattern, classification, count(*) AS n_chains FROM chains GROUP BY pattern, classification",
     "system_comparison": f"""{_ANSWERS}, rates AS ({_CONFUSION}) SELECT s.system, coalesce(n, 0) AS n, accuracy, precision_, recall_, f1, CASE WHEN n IS NULL THEN 'no answers, rates not computed' ELSE '' END AS note
       FROM (VALUES ('rules'), ('combined'), ('classifier')) AS s(system) LEFT JOIN rates r ON s.system = r.system""",
     "prediction_outcomes": f"{_ANSWERS} SELECT system, count(*) AS total, count(*) AS available, 0 AS failures, count(CASE WHEN prediction = 'scam' THEN 1 END) AS scam, count(CASE WHEN prediction = 'safe' THEN 1 END) AS safe FROM answers GROUP BY system",
