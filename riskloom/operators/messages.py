@@ -140,6 +140,11 @@ def _part_terms(lexicon: DataFrame | None) -> dict:
     return out
 
 
+def severities() -> dict[str, str]:
+    """Indicators and how their severity follows from counts and flags."""
+    return {x.rsplit(" AS s_", 1)[1]: x.rsplit(" AS s_", 1)[0] for x in _severity_sql()}
+
+
 def _severity_sql() -> list[str]:
     out = []
     for name, (high, medium, low) in rules.SEVERITIES.items():
@@ -176,11 +181,13 @@ def guarded_sql() -> str:
     return "400 + " + " + ".join(_tenths(x) for x in rules.WEAK)
 
 
-def _score_sql(d) -> list[str]:
-    total = " + ".join(_tenths(x) for x in INDICATORS)
+def _score_sql(d, extra: dict[str, int] | None = None) -> list[str]:
+    """``extra``: further indicators and their weights."""
+    more = [f"CASE s_{n} " + " ".join(f"WHEN '{s}' THEN {t * w}" for s, t in rules.SEVERITY_TENTHS.items()) + " ELSE 0 END" for n, w in (extra or {}).items()]
+    total = " + ".join([*(_tenths(x) for x in INDICATORS), *more])
     pairs = " + ".join(f"CASE WHEN s_{a} IS NOT NULL AND s_{b} IS NOT NULL THEN {10 * p} ELSE 0 END" for a, b, p in rules.MESSAGE_PAIRS)
     raw = f"{total} + {pairs} + {bonus_sql()} - CASE WHEN safe_part THEN 180 ELSE 0 END - CASE WHEN {guard_sql()} THEN {guarded_sql()} ELSE 0 END"
-    fired = " + ".join(_fires(x) for x in INDICATORS)
+    fired = " + ".join(_fires(x) for x in (*INDICATORS, *(extra or {})))
     left = f"({fired}) - CASE WHEN {guard_sql()} THEN {' + '.join(_fires(x) for x in rules.WEAK)} ELSE 0 END"
     return [f"greatest(0, least(1000, {raw})) AS raw10", f"{left} AS n_fired", f"{guard_sql()} AS guarded"]
 
@@ -199,19 +206,28 @@ def _verdict_sql(d) -> list[str]:
     ]
 
 
-def indicators(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """One row for each message: counts by list, flags, and the severity ``s_<indicator>`` of each indicator (null: absent).
+def with_counts(rows: DataFrame, messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Adds to ``rows`` (one a message) the count ``n_<list>`` of each list's terms in ``messages`` (``msg_id, text``).
 
-    Messages meet their hits once, in one shuffle; messages without hits stay.
+    Rows meet the hits once, in one shuffle, without texts; messages without hits stay.
     """
     hits = lexicon_hits(messages, lexicon)
     counts = hits.groupBy("msg_id").agg(*(F.count(F.when(F.col("list") == x, 1)).alias(f"n_{x}") for x in LISTS))
-    own = messages.select("msg_id", "lang", F.col("text"), normalized(F.col("text")).alias("norm"))
-    own = own.select("msg_id", "lang", F.exists(urls_in(F.col("text")), lambda u: u.rlike(BAD_URL)).alias("bad_url"), "norm")
+    return rows.join(counts, "msg_id", "left").fillna(0, [f"n_{x}" for x in LISTS])
+
+
+def with_flags(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Adds what is seen of a text beside its terms: a link of a bad kind, verbs and phrases of a request, safe and ordinary phrases."""
+    kept = [c for c in messages.columns if c != "norm"]
+    own = messages.select(*kept, F.exists(urls_in(F.col("text")), lambda u: u.rlike(BAD_URL)).alias("bad_url"), normalized(F.col("text")).alias("norm"))
     parts = _part_terms(lexicon)
-    own = own.select("msg_id", "lang", "bad_url", _verbs_met(parts["otp_verb"]).alias("verbs"), *map(F.expr, _flags_sql(Spark, parts)[1:]))
-    joined = own.join(counts, "msg_id", "left").fillna(0, [f"n_{x}" for x in LISTS])
-    return joined.selectExpr("*", *_severity_sql())
+    return own.select(*kept, "bad_url", _verbs_met(parts["otp_verb"]).alias("verbs"), *map(F.expr, _flags_sql(Spark, parts)[1:]))
+
+
+def indicators(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """One row for each message: counts by list, flags, and the severity ``s_<indicator>`` of each indicator (null: absent)."""
+    own = messages.select("msg_id", "lang", "text")
+    return with_counts(with_flags(own, lexicon).drop("text"), own, lexicon).selectExpr("*", *_severity_sql())
 
 
 def message_facts(found: DataFrame) -> DataFrame:
@@ -220,9 +236,9 @@ def message_facts(found: DataFrame) -> DataFrame:
     return found.select("msg_id", F.explode(facts).alias("f")).select("msg_id", "f.*").where("severity is not null")
 
 
-def message_scores(found: DataFrame) -> DataFrame:
+def message_scores(found: DataFrame, extra: dict[str, int] | None = None) -> DataFrame:
     """``msg_id, lang, raw_score, risk_score, risk_level, is_scam, confidence, category, guarded``."""
-    scored = found.selectExpr("*", *_score_sql(Spark))
+    scored = found.selectExpr("*", *_score_sql(Spark, extra))
     return scored.selectExpr("msg_id", "lang", "CAST(raw10 AS DOUBLE) / 10 AS raw_score", *_verdict_sql(Spark), "guarded", "n_fired")
 
 
