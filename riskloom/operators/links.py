@@ -155,7 +155,8 @@ def change_impact(sides: DataFrame) -> DataFrame:
     return both.select("link_id", "n_changes", "n_risky", F.least(F.lit(70), F.col("points") + F.col("e") + F.col("o")).cast("long").alias("impact_points"), F.col("risk_delta").cast("int").alias("risk_delta"))
 
 
-def oracle_ctes(links: str) -> str:
+def oracle_ctes(links: str, looked_at: str = "b_url IS NOT NULL") -> str:
+    """``looked_at``: the links whose flags are wanted, with a baseline or not."""
     d = Duck
     cols = ", ".join(f"{s}.{x} AS {s}_{x}" for s in _SIDES for x in ("url", "risk_score", *_KEPT))
     fields = " UNION ALL ".join(f"SELECT link_id, '{c}' AS category, {i} AS impact FROM sides WHERE b_url IS NOT NULL AND {w}" for c, w, i in field_changes_sql())
@@ -184,7 +185,7 @@ summed AS (SELECT link_id, count(*) AS n_changes, count(CASE WHEN impact = 'risk
 looked AS (SELECT link_id, c_risk_score - b_risk_score AS risk_delta, len(string_split(c_raw, '://')) - 1 AS seen, len(string_split(url_decode(c_raw), '://')) - 1 AS seen_decoded,
   len(list_filter(string_split(c_query, '&'), lambda x: contains(x, '=') AND contains(url_decode(url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' '))), '://'))) > 0 AS in_value,
   {' OR '.join(f'coalesce(c_p_{x}, 0) > 0' for x in ('nested_url', 'encoded_nested_url'))} AS nests, {' OR '.join(f'coalesce(c_p_{x}, 0) > 0' for x in OBFUSCATION)} AS hides,
-  coalesce(c_p_suspicious_redirect_parameter, c_p_short_url_redirector, 0) > 0 AS sends FROM sides WHERE b_url IS NOT NULL),
+  coalesce(c_p_suspicious_redirect_parameter, c_p_short_url_redirector, 0) > 0 AS sends FROM sides WHERE {looked_at}),
 flags AS (SELECT link_id, risk_delta, sends OR seen > 1 AS redirect, nests OR seen > 1 OR seen_decoded > seen AS nested, nests OR in_value AS encoded_destination,
   hides OR in_value OR seen > 1 OR seen_decoded > 1 AS obfuscated FROM looked),
 change_impact AS (SELECT f.link_id, coalesce(n_changes, 0) AS n_changes, coalesce(n_risky, 0) AS n_risky,

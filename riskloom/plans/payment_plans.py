@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.dialect import Duck, Spark
+from ..operators import inspections as I
 from ..operators import links as L
 from ..operators import messages as M
 from ..operators import payments as P
@@ -42,7 +45,21 @@ def _payload_combined(spark, sf_dir):
     return P.combined_scores(url.unionByName(upi).unionByName(message).unionByName(unknown))
 
 
+#: Requests of all kinds: links alone, links with a baseline, pairs, blanks and nothing.
+_REQUESTS = f"""SELECT link_id AS request_id, CASE WHEN link_id % 5 < 2 THEN current_url WHEN link_id % 15 = 4 THEN ' ' END AS url, CASE WHEN link_id % 5 IN (1, 3) THEN baseline_url WHEN link_id % 5 = 2 THEN '' END AS baseline_url,
+  CASE WHEN link_id % 5 IN (2, 3) THEN current_url || CASE WHEN link_id % 3 = 0 THEN '&a+b=c%20d&next=http%253A%252F%252Fevil.example' ELSE '' END END AS current_url FROM ({LINKS})"""
+
+
+def _inspections(s, d):
+    found = I.inspected(read(s, d, _REQUESTS, "pages"))
+    values = F.array_join(F.transform("decoded_values", lambda v: F.concat(v["name"], F.lit("="), v["value"])), "&")
+    return found.select(
+        "request_id", "mode", "error", "risk_score", "decoded_path", "decoded_query", values.alias("decoded_values"), F.array_join("hidden", " | ").alias("hidden"), "redirect", "nested", "encoded_destination", "obfuscated",
+        "n_changes", "impact_points", "risk_delta")
+
+
 QUERIES = {
+    "link_inspections": _inspections,
     "upi_fields": lambda s, d: P.payment_fields(_payments(s, d)).select(*_PAY_FIELDS),
     "upi_scores": lambda s, d: P.payment_scores(_payments(s, d)).select(*_PAY_SCORES),
     "upi_facts": lambda s, d: P.payment_facts(P.payment_scores(_payments(s, d))),
@@ -63,6 +80,7 @@ _ROWS = f"(SELECT container, pos, payload, {P.content_type_sql(Duck)} AS content
 _LINKS = "WITH " + L.oracle_ctes(duck(LINKS))
 _TEXTS = "SELECT container * 9 + pos AS msg_id, '' AS lang, payload AS text FROM rows_ WHERE content_type = 'text'"
 ORACLE = {
+    "link_inspections": I.oracle(duck(_REQUESTS)),
     "upi_fields": f"SELECT {', '.join(_PAY_FIELDS)} FROM ({P.oracle_fields(duck(PAYMENTS))})",
     "upi_scores": f"SELECT {', '.join(_PAY_SCORES)} FROM ({_SCORED})",
     "upi_facts": f"WITH i AS ({_SCORED}) {_UPI_FACTS}",
