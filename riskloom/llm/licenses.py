@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
-A candidate block is a line that has a cue word. It is compressed alone and with each license template as a raw
-dictionary; the template that saves most, as a share of the block's own size, wins. As compression also rewards
-wording that templates share, the winner is confirmed by exact wording: the words of the block that the template
-does not have in the same order, found by aligning the two word by word.
+Lines with a cue word and those near them are read together, so a notice may be wrapped over lines or stand inside prose. The words of
+such a stretch that stand in runs of three as in a template mark where it may hold a notice: a candidate block is the longest window in
+which such words prevail, cut where the template would begin anew. A block is compressed alone and with each template as a
+raw dictionary, and the templates that save most, as a share of the block's own size, are its candidates. As compression also
+rewards wording that templates share, the winner is confirmed by exact wording: the words of the block that the
+template does not have in the same order, found by aligning the two word by word.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -101,7 +104,6 @@ def wording_differences(block: str, template: str) -> int:
     return len(a) - sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
 
 
-@lru_cache(maxsize=65536)
 def judge(block: str, most_different: float, tried: int) -> tuple[str | None, float, int]:
     """The confirmed template (or none), its size reduction and the words that differ.
 
@@ -114,30 +116,146 @@ def judge(block: str, most_different: float, tried: int) -> tuple[str | None, fl
     return (name if n >= 3 and d <= most_different * n else None), saved, d
 
 
+_CUE = re.compile(CUE)
+#: Lines without a cue word that may stand between two lines of one stretch, and that belong to it before and after.
+NEAR = 4
+#: Words that a notice inside a sentence has at least; one that is a sentence or a line of its own may have three.
+LEAST_INSIDE = 8
+
+
+@lru_cache(maxsize=None)
+def _runs() -> dict[str, dict[tuple[str, str, str], list[int]]]:
+    """By template: its runs of three words and where they stand."""
+    out: dict = {}
+    for name, template in TEMPLATES.items():
+        w = words(template)
+        own = out[name] = {}
+        for k in range(len(w) - 2):
+            own.setdefault(tuple(w[k:k + 3]), []).append(k)
+    return out
+
+
+def stretches(text: str):
+    """Words of each stretch of lines around cue words: ``(word, line, begins, ends)``, the last two where a line or sentence does."""
+    lines = text.split("\n")
+    cued = [k for k, line in enumerate(lines) if _CUE.search(line)]
+    groups: list[list[int]] = []
+    for k in cued:
+        if groups and k - groups[-1][1] <= NEAR + 1:
+            groups[-1][1] = k
+        else:
+            groups.append([k, k])
+    for first, last in groups:
+        out = []
+        for k in range(max(0, first - NEAR), min(len(lines), last + NEAR + 1)):
+            line = lines[k].lower()
+            found = list(_WORD.finditer(line))
+            for i, m in enumerate(found):
+                before = line[found[i - 1].end():m.start()] if i else "."
+                after = line[m.end():found[i + 1].start()] if i + 1 < len(found) else "."
+                out.append((m.group(), k, bool(re.search(r"[.;:!?\"()*#|]", before)), bool(re.search(r"[.;:!?\"()*#|]", after))))
+        yield out
+
+
+def windows(found: list[str], runs: dict, most_different: float):
+    """Windows ``(first, end)`` in which words that stand in runs of a template prevail.
+
+    The words are cut where the template begins anew and where so many other words follow each other that no notice could span them; of
+    each part the longest window counts whose other words are ``most_different`` of all at most, and so on beside it.
+    """
+    places: dict[int, set[int]] = {}
+    for i in range(len(found) - 2):
+        for at in runs.get(tuple(found[i:i + 3]), ()):
+            for k in range(3):
+                places.setdefault(i + k, set()).add(at + k)
+    gap = most_different / (1 - most_different) * (len(runs) + 3)
+    parts: list[list[int]] = []
+    reached = -1
+    for i in sorted(places):
+        later = [p for p in places[i] if p > reached]
+        if not parts or not later or i - parts[-1][-1] - 1 > gap:
+            parts.append([])
+            later = list(places[i])
+        reached = min(later)
+        parts[-1].append(i)
+    for part in parts:
+        yield from _longest(part, most_different)
+
+
+def _longest(hits: list[int], most_different: float):
+    """Of places that count, the longest span with few enough others, and those beside it."""
+    if not hits:
+        return
+    # of hits a to b: (b - a + 1) are met of hits[b] - hits[a] + 1 words, so with s(k) = k - share * hits[k] it takes s(b) + 1 - share >= s(a)
+    share = 1 - most_different
+    s = [k - share * h for k, h in enumerate(hits)]
+    lows = []
+    for k, x in enumerate(s):
+        if not lows or x < s[lows[-1]]:
+            lows.append(k)
+    best = (0, 0, 0)
+    b = len(s) - 1
+    highest = sorted(range(len(s)), key=lambda k: s[k])  # for each start the last end that is high enough
+    last, ends = -1, {}
+    for k in reversed(highest):
+        last = max(last, k)
+        ends[k] = last
+    values = [s[k] for k in highest]
+    for a in lows:
+        k = bisect.bisect_left(values, s[a] - (1 - share) - 1e-9)
+        b = ends[highest[k]]
+        if b >= a and hits[b] - hits[a] + 1 > best[0]:
+            best = (hits[b] - hits[a] + 1, a, b)
+    _, a, b = best
+    yield from _longest(hits[:a], most_different)
+    yield hits[a], hits[b] + 1
+    yield from _longest(hits[b + 1:], most_different)
+
+
+def notices(text: str, most_different: float, tried: int, keep_all: bool = False) -> list[tuple[int, int, str | None, float, int, int]]:
+    """``(line, last_line, license, reduction, n_words, n_different)`` of each notice, in order; none overlap."""
+    out = []
+    for stretch in stretches(text):
+        found = [w for w, *_ in stretch]
+        spans = sorted({s for runs in _runs().values() for s in windows(found, runs, most_different)})
+        judged = []
+        for first, end in spans:
+            n = end - first
+            whole = stretch[first][2] and stretch[end - 1][3]
+            if n < 3 or not (whole or n >= LEAST_INSIDE) or not _CUE.search(" ".join(found[first:end])):
+                continue
+            name, saved, different = judge(" ".join(found[first:end]), most_different, tried)
+            judged.append((name is None, different - n, different, name or "", first, end, saved))
+        taken: list[tuple[int, int]] = []
+        for lost, gain, different, name, first, end, saved in sorted(judged):
+            if (not lost or keep_all) and all(end <= a or first >= b for a, b in taken):
+                taken.append((first, end))
+                out.append((stretch[first][1], stretch[end - 1][1], None if lost else name, saved, end - first, different))
+    return sorted(out, key=lambda x: x[:2])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_different: float = 0.15, tried: int = 4, keep_all: bool = False) -> DataFrame:
-    """``id, line, license, reduction, n_words, n_different`` for each confirmed block (with ``keep_all``: each candidate).
+    """``id, line, last_line, license, reduction, n_words, n_different`` for each confirmed notice (with ``keep_all``: each candidate block).
 
-    Null and empty texts have no blocks; null ids and repeated rows have their blocks like any other; of several
-    templates with equal savings the first by name is tried first. Other columns of ``docs`` are ignored.
+    Null and empty texts have no notices; null ids and repeated rows have their notices like any other; of several
+    templates with equal savings the first by name is tried first. Texts are read whole, in time that follows their length. Other
+    columns of ``docs`` are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "block")).where(F.col("block").rlike(CUE))
-    out = T.StructType([
-        lines.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("license", T.StringType()), T.StructField("reduction", T.DoubleType()),
-        T.StructField("n_words", T.IntegerType()), T.StructField("n_different", T.IntegerType()),
-    ])
+    cued = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CUE))
+    kinds = [("line", T.IntegerType()), ("last_line", T.IntegerType()), ("license", T.StringType()), ("reduction", T.DoubleType()), ("n_words", T.IntegerType()), ("n_different", T.IntegerType())]
+    out = T.StructType([cued.schema["id"], *(T.StructField(*k) for k in kinds)])
+    arrow = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
 
     def run(batches):
         for b in batches:
-            found = [(*judge(t, most_different, tried), len(words(t))) for t in b.column(2).to_pylist()]
-            name, saved, different, n = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(name, pa.string()), pa.array(saved, pa.float64()), pa.array(n, pa.int32()), pa.array(different, pa.int32())], out.names)
+            rows = [(k, *found) for k, t in enumerate(b.column(1).to_pylist()) for found in notices(t, most_different, tried, keep_all)]
+            at, *columns = zip(*rows) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, arrow))], out.names)
 
-    judged = lines.mapInArrow(run, out)
-    return judged if keep_all else judged.where("license is not null")
+    return cued.mapInArrow(run, out)
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """All confirmed license blocks of all documents."""
+    """All confirmed notices of all documents."""
     return scan(docs).withColumnRenamed("id", "doc_id")
