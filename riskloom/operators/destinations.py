@@ -10,7 +10,7 @@ from ..functions.dialect import Spark
 from . import urls as U
 
 LAYERS, MOST, CHARS = 5, 5, 2048
-_WEB = r"(?i)https?://[^ \t\n\r<>\x27\x22]+"
+_WEB = r"(?i)https?://[^ \t\n\r<>\x27\x22`]*"  # an address that ends with its marks is malformed, and told rather than dropped
 # Indicators that settle a destination as suspicious.
 DECISIVE = (
     "brand_impersonation", "brand_in_subdomain", "brand_in_path", "possible_brand_typosquatting", "ip_address_host", "punycode_domain", "mixed_script_host", "hex_encoded_host",

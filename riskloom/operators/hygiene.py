@@ -146,6 +146,22 @@ WEAK_CATEGORY = """CASE WHEN label <> 'scam' THEN 'safe' WHEN contains(lower(tex
   WHEN contains(lower(text), 'atm') OR contains(lower(text), 'खाता') OR contains(lower(text), 'bank') THEN 'bank_impersonation' ELSE 'other' END"""
 
 
+# Marks of a labelled text by parts of it, in order.
+WEAK_INDICATORS = (
+    ("urgency", ("urgent", "immediately", "jaldi", "तुरंत", "turant")), ("kyc_language", ("kyc", "केवाईसी")), ("suspicious_url", ("http", "click")), ("otp_request", ("otp", "pin")),
+)
+
+
+def weak_indicators_sql(text: str = "text", category: str = "category") -> str:
+    """Marks of a text joined by bars, its category last where it is no mark; ``none`` for a safe one. Null texts have no parts."""
+    def one(name: str, parts) -> str:
+        return f"CASE WHEN {' OR '.join(f'contains(lower({text}), {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{name}' END"
+
+    marks = ", ".join(f"'{n}'" for n, _ in WEAK_INDICATORS)
+    own = f"CASE WHEN NOT {category} IN ({marks}) THEN {category} END"
+    return f"CASE WHEN {category} = 'safe' THEN 'none' ELSE concat_ws('|', {', '.join(one(n, p) for n, p in WEAK_INDICATORS)}, {own}) END"
+
+
 def placeholders(text: Column) -> Column:
     """Texts as data sets keep them: phone numbers, account numbers and codes after the word OTP replaced; null stays null."""
     out = F.regexp_replace(text, r"(?<![0-9])(?:\+91[\s-]?)?[6-9][0-9]{9}(?![0-9])", "[PHONE]")

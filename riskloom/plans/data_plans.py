@@ -43,6 +43,7 @@ QUERIES = {
     "label_problems": lambda s, d: H.validate(_rows(s, d).withColumn("label", F.when(F.col("id") % 10 == 0, "odd").otherwise(F.col("label"))), ["id", "text", "label"]).withColumnRenamed("count", "n"),
     "redacted_text": lambda s, d: read(s, d, "SELECT doc_id, text FROM documents", "documents").selectExpr("doc_id", f"{H.redaction_sql(False)} AS clean").selectExpr("doc_id", f"{H.shortened_sql('clean')} AS redacted"),
     "weak_category": lambda s, d: _rows(s, d).selectExpr("id", f"{H.WEAK_CATEGORY} AS category"),
+    "weak_indicators": lambda s, d: _rows(s, d).selectExpr("id", "text", f"{H.WEAK_CATEGORY} AS category").selectExpr("id", f"{H.weak_indicators_sql()} AS indicators"),
     "zone_counts": lambda s, d: Z.zones(U.url_scores(read(s, d, URLS, "pages"))).groupBy("zone").count().withColumnRenamed("count", "n_urls"),
     "factor_breakdown": lambda s, d: Z.factor_breakdown(_url_facts(s, d), "url_id"),
     "top_reasons": lambda s, d: Z.top_reasons(_url_facts(s, d), "url_id"),
@@ -73,6 +74,7 @@ ORACLE = {
     "label_problems": f"SELECT 'odd' AS label, count(*) AS n FROM ({_L}) WHERE id % 10 = 0 HAVING count(*) > 0",
     "redacted_text": f"SELECT doc_id, {H.shortened_sql('clean')} AS redacted FROM (SELECT doc_id, {H.redaction_sql(True)} AS clean FROM documents)",
     "weak_category": f"SELECT id, {H.WEAK_CATEGORY} AS category FROM ({_L})",
+    "weak_indicators": f"SELECT id, {H.weak_indicators_sql()} AS indicators FROM (SELECT id, text, {H.WEAK_CATEGORY} AS category FROM ({_L}))",
     "zone_counts": f"SELECT zone, count(*) AS n_urls FROM (SELECT {Z.ZONE} AS zone FROM ({U.oracle_scores(duck(URLS))})) GROUP BY zone",
     "factor_breakdown": f"{_FACTED} SELECT url_id, factor, sum(points) AS contribution, string_agg(indicator, ',' ORDER BY indicator) AS indicators FROM (SELECT *, {Z.FACTOR} AS factor FROM facts) GROUP BY url_id, factor",
     "top_reasons": f"{_FACTED} SELECT url_id, string_agg(indicator, ',' ORDER BY r) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY url_id ORDER BY points DESC, indicator) AS r FROM facts) WHERE r <= 10 GROUP BY url_id",
