@@ -55,14 +55,14 @@ QUERIES = {
 }
 
 _PHRASES = ", ".join(f"('{n}', '{p.replace(chr(39), chr(39) * 2)}')" for n, p in REASONS.items())
-_ENTRIES = f"""WITH {M.oracle_ctes(MESSAGES)}, flags AS (SELECT f.*, m.guarded, m.is_scam FROM found f JOIN message_scores m ON f.msg_id = m.msg_id),
-  links AS ({U.oracle_scores(duck(URLS))}), pays AS ({P.oracle_scores(duck(PAYMENTS))}),
+_ENTRIES = f"""WITH {M.oracle_ctes(MESSAGES)}, flags AS MATERIALIZED (SELECT f.*, m.guarded, m.is_scam FROM found f JOIN message_scores m ON f.msg_id = m.msg_id),
+  links AS MATERIALIZED ({U.oracle_scores(duck(URLS))}), pays AS MATERIALIZED ({P.oracle_scores(duck(PAYMENTS))}),
   entries AS ({X.oracle_entries('flags', 'message', 'msg_id', X.message_parts())} UNION ALL {X.oracle_entries('links', 'url', 'url_id', X.url_parts(Duck))} UNION ALL {X.oracle_entries('pays', 'upi', 'pay_id', X.payment_parts(Duck))}),
-  told AS (SELECT kind, key, e.name, points, place, coalesce(phrase, {X.oracle_phrase('e.name')}) AS phrase FROM entries e LEFT JOIN (VALUES {_PHRASES}) AS r(name, phrase) ON e.name = r.name)"""
+  told AS MATERIALIZED (SELECT kind, key, e.name, points, place, coalesce(phrase, {X.oracle_phrase('e.name')}) AS phrase FROM entries e LEFT JOIN (VALUES {_PHRASES}) AS r(name, phrase) ON e.name = r.name)"""
 _EVIDENCE = """words AS (SELECT kind, key, place, i, w FROM (SELECT kind, key, place, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT *, string_split(lower(regexp_replace(name, '[^A-Za-z0-9_]', ' ', 'g')), ' ') AS l FROM told)) WHERE w <> ''),
   tokens AS (SELECT kind, key, string_agg(w, ' ' ORDER BY place, i) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY kind, key, w ORDER BY place, i) AS r FROM words) WHERE r = 1 GROUP BY kind, key),
   texts AS (SELECT kind, key, string_agg(lower(phrase), ' | ' ORDER BY place) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY kind, key, lower(phrase) ORDER BY place) AS r FROM told) WHERE r = 1 GROUP BY kind, key),
-  evidence AS (SELECT t.kind, t.key, tokens, texts FROM tokens t JOIN texts x ON t.kind = x.kind AND t.key = x.key)"""
+  evidence AS MATERIALIZED (SELECT t.kind, t.key, tokens, texts FROM tokens t JOIN texts x ON t.kind = x.kind AND t.key = x.key)"""
 _ARTEFACTS = """SELECT e.kind || ':' || CAST(e.key AS VARCHAR) AS artifact_id, coalesce(f.is_scam, l.is_suspicious) AS is_suspicious, lower(tokens || ' ' || replace(texts, ' | ', ' ') || coalesce(' ' || coalesce(l.brand, l.typo), '')) AS text
   FROM evidence e LEFT JOIN flags f ON e.kind = 'message' AND e.key = f.msg_id LEFT JOIN links l ON e.kind = 'url' AND e.key = l.url_id WHERE e.kind <> 'upi'"""
 ORACLE = {
