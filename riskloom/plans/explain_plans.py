@@ -32,13 +32,19 @@ def _explained(s, d, *kinds):
     return X.explained(found)
 
 
+def _told(s, d):
+    """Every artefact with its parts and their phrases in one row."""
+    parts = [X.told(rows, kind, key) for kind, (rows, key, _) in _scored(s, d).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _entities(s, d):
     """Of messages and links; a link's brand is part of its evidence."""
     out = None
     for kind, (rows, key, bad) in _scored(s, d).items():
         if kind == "upi":
             continue
-        own = X.evidence(X.explained(X.entries(rows, kind, key)))
+        own = X.evidence_told(X.told(rows, kind, key))
         brand = F.coalesce("brand", "typo") if kind == "url" else F.lit(None).cast("string")
         flagged = rows.select(F.col(key).alias("key"), F.col(bad).alias("is_suspicious"), F.array_compact(F.array(F.lower(brand))).alias("brands"))
         met = own.join(flagged, "key").withColumn("texts", F.concat("texts", "brands")).withColumn("artifact_id", F.concat("kind", F.lit(":"), F.col("key").cast("string")))
@@ -49,8 +55,8 @@ def _entities(s, d):
 
 QUERIES = {
     "explanations": lambda s, d: X.listed(_explained(s, d)).drop("place"),
-    "top_phrases": lambda s, d: X.top_phrases(_explained(s, d)).withColumn("reasons", F.array_join("reasons", " | ")),
-    "evidence_texts": lambda s, d: X.evidence(_explained(s, d)).select("kind", "key", F.array_join("tokens", " ").alias("tokens"), F.array_join("texts", " | ").alias("texts")),
+    "top_phrases": lambda s, d: X.top_phrases_told(_told(s, d)).withColumn("reasons", F.array_join("reasons", " | ")),
+    "evidence_texts": lambda s, d: X.evidence_told(_told(s, d)).select("kind", "key", F.array_join("tokens", " ").alias("tokens"), F.array_join("texts", " | ").alias("texts")),
     "named_entities": _entities,
 }
 

@@ -83,3 +83,13 @@ def test_entities_are_a_table_of_any_size(spark):
         spark.createDataFrame([("", "none", "c", False), (None, "none", "c", False), ("ab", "Ab", "c", False), ("a b", "A B", "c", True)], "entity string, brand string, category string, alone boolean"))
     rows = spark.createDataFrame([(1, True, ["brand_impersonation"], ["brand7x brand70x xbrand8x xbrand9xx ab a b"])], "artifact_id long, is_suspicious boolean, tokens array<string>, texts array<string>")
     assert {r["entity"] for r in entities.named(rows, names).collect()} == {"brand7x", "brand70x", "brand9x", "ab", "a b"}
+
+
+def test_parts_told_within_the_row_equal_those_gathered_from_entries(spark):
+    uris = [(i, f"upi://pay?pa=a@upi&am={a}&tn={n}") for i, (a, n) in enumerate([(5, "rent"), (200000, "urgent refund kyc otp claim"), (60000, "won lottery prize act now"), (20000, "")])] + [(9, None), (10, "http://x.example")]
+    scored = payments.payment_scores(spark.createDataFrame(uris, "pay_id long, uri string"))
+    rows = explain.told(scored, "upi", "pay_id")
+    long = explain.explained(explain.entries(scored, "upi", "pay_id"))
+    for within, gathered in ((explain.top_phrases_told(rows), explain.top_phrases(long)), (explain.top_phrases_told(rows, 2), explain.top_phrases(long, 2)), (explain.evidence_told(rows), explain.evidence(long))):
+        assert sorted(map(tuple, within.collect())) == sorted(map(tuple, gathered.collect())) != []
+        assert "Exchange" not in within._jdf.queryExecution().executedPlan().toString()
