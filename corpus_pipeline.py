@@ -30,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word Jaccard of 0.8 or more), the one with the smallest id.
 
+    Components of SimHash near-duplicates and min-hash bands propose, the texts' shingle sets decide.
     Null, empty and blank texts are alike, so one of them stays. Repeated rows stay once; a null id counts as the highest.
     """
     return simhash.one_of_each(docs.select(*COLUMNS))

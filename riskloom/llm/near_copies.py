@@ -77,17 +77,23 @@ def spanning_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
     return out
 
 
-def links(texts: DataFrame, words: int = 5, least: float = 0.8, cell_rows: int = 2048) -> DataFrame:
-    """From ``id, text`` (distinct texts) to links ``a, b`` that connect all texts at Jaccard ``least`` or more."""
+def links(texts: DataFrame, words: int = 5, least: float = 0.8, cell_rows: int = 2048, proposed: DataFrame | None = None, bands: int = BANDS) -> DataFrame:
+    """From ``id, text`` (distinct texts) to links ``a, b`` that connect all texts at Jaccard ``least`` or more.
+
+    ``proposed`` (``cell, id``) gives further cells, whose texts are compared like those of the first ``bands`` bands; its numbers are its own.
+    """
     small_batches(texts.sparkSession)
 
     def deal(batches):
         for b in batches:
-            found = [cells(shingles(t, words)) for t in text_bytes(b.column(1))]
+            found = [cells(shingles(t, words))[:bands] for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], ["cell", "id"])
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), bands))], ["cell", "id"])
 
-    every = stored(texts.select("id", "text").mapInArrow(deal, "cell long, id long"), "cells")
+    dealt_bands = texts.select("id", "text").mapInArrow(deal, "cell long, id long")
+    if proposed is not None:
+        dealt_bands = dealt_bands.unionByName(proposed.select(F.xxhash64(F.lit("proposed"), "cell").alias("cell"), "id"))
+    every = stored(dealt_bands, "cells")
     summed = every.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(19,0)")).alias("s"))
     kept = stored(summed.where("n > 1").groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell", "n"), "kept-cells")

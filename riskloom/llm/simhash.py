@@ -223,16 +223,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_hot(own, classes, "fp", own.count()).select("id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, cell_rows: int = 2048) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, cell_rows: int = 2048,
+                bands: int = near_copies.BANDS) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component the row with the smallest id stays (of equal
     ids, the smallest hash of the text; null ids count as highest), and repeated rows stay once. Null texts count as
-    empty; texts without words are alike."""
+    empty; texts without words are alike.
+
+    ``near_duplicates`` gives the components of distinct texts; within each the texts' shingle sets are compared, as a link of fingerprints
+    says nothing sure of the texts. Bands of min-hashes propose near-copies whose fingerprints lie further apart to the same comparison."""
     own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.struct(F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(own).alias("text"))
     keyed = docs.withColumn("_key", key)
     firsts = stored(keyed.groupBy(F.col("_key.text").alias("node")).agg(F.min("_key").alias("_key")), "distinct-texts")
-    texts = keyed.select(F.col("_key.text").alias("id"), own.alias("text")).dropDuplicates(["id"])
-    found = connected_components(near_copies.links(stored(texts, "texts"), words, least, cell_rows))
+    texts = stored(keyed.select(F.col("_key.text").alias("id"), own.alias("text")).dropDuplicates(["id"]), "texts")
+    proposed = near_duplicates(texts, "id", "text").select(F.col("component_id").alias("cell"), "id")
+    found = connected_components(near_copies.links(texts, words, least, cell_rows, proposed, bands))
     linked = firsts.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = stored(linked.groupBy("root").agg(F.min("_key").alias("_key")).select("_key"), "stays")
     return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -56,3 +56,18 @@ def test_stage_matches_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"] for r in P.drop_near_duplicates(spark, docs, sf_dir).collect()}
     assert got == _kept({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_simhash_components_propose_and_texts_decide(spark):
+    """Without any band: one text with a last word changed is found by its fingerprint; texts alike in neither stay."""
+    rng = random.Random(11)
+    rows = {}
+    for g in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+        rows[2 * g], rows[2 * g + 1] = " ".join(words), " ".join([*words[:-1], "changed"])
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in rows.items()}
+    near = {i for i in rows if i % 2 and ((fps[i] ^ fps[i - 1]) & (2 ** 64 - 1)).bit_count() <= 4}
+    assert near
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs, bands=0).collect()} == set(rows) - near
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == _kept(rows)
