@@ -127,7 +127,7 @@ def message_registry(lexicon: DataFrame | None = None) -> Registry:
     """The inputs and detectors of messages as they are fixed; more may be added."""
     out = Registry()
     out.add_input(Input("flags", (), step=lambda rows, messages: _flags(rows, messages, lexicon), gives=("bad_url", "verbs", "otp_phrase", "safe_part", "transactional")))
-    out.add_input(Input("counts", ("flags",), step=lambda rows, messages: M.with_counts(rows.drop("text"), messages, lexicon), gives=tuple(f"n_{x}" for x in M.LISTS)))
+    out.add_input(Input("counts", ("flags",), step=lambda rows, messages: M.with_counts(rows, messages, lexicon), gives=tuple(f"n_{x}" for x in M.LISTS)))
     for name, severity in M.severities().items():
         out.add(Detector(name, ("counts",), severity, rules.MESSAGE_WEIGHTS[name]))
     return out

@@ -1,12 +1,15 @@
 """Message risk: lexicon hits, indicators with severities, scores and categories.
 
-Terms meet runs of a text's words in an equi-join; terms in Devanagari, which may stand anywhere, meet pieces of texts of
-that script. A text is cut up once, so the work follows its length. Scores are kept in tenths, so sums are exact in any order.
+The terms of a lexicon of moderate size are one expression, a tree of their characters, that finds the longest term at each word within the
+row; so nothing is exploded or shuffled. A larger lexicon meets runs of a text's words in an equi-join; terms in Devanagari, which may stand
+anywhere, are looked for in texts of that script. The work follows a text's length. Scores are kept in tenths, so sums are exact in any order.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,21 +19,25 @@ from ..functions.dialect import Duck, Spark
 
 LISTS = [x for x in rules.TERMS if x not in rules.PARTS]
 _BROADCAST_TERMS = 100_000  # rows of a lexicon that is sent to every task; a larger one is joined by shuffle
+_TREE_TERMS = 10_000  # terms, and
+_TREE_CHARS = 200_000  # their characters, that become one expression; more terms are joined
 INDICATORS = list(rules.MESSAGE_WEIGHTS)
 
 URL_PATTERN = r"(?i)(?:https?://|www[.])[^ \t\n\r<>()\[\]{}\x27\x22]+|(?:(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?[.])+[a-z]{2,}(?:/[^ \t\n\r]*)?)"
 URL_TRAILER = r"[.,;:!?)\]}>\x27\x22]+$"
+# The same matches as URL_PATTERN finds, in group 1: words that no full stop or scheme follows, so that no link begins in them, are passed over whole.
+_URL_SKIPPING = rf"(?is)(?:[a-z0-9-]++(?![.]|://)|[^a-z0-9-]|(?!{URL_PATTERN[4:]}).)*+({URL_PATTERN[4:]})?"
 BAD_URL = r"(?i)(?:bit[.]ly|tinyurl|goo[.]gl|t[.]co|rb[.]gy|cutt[.]ly|is[.]gd|shorturl|ow[.]ly|tiny[.]cc|lnkd[.]in|rebrandly)|^(?:[a-z]+://)?(?:[0-9]{1,3}[.]){3}[0-9]{1,3}(?:$|/)"
 
 
 def normalized(text: Column) -> Column:
     """Trimmed, lower-cased, blanks collapsed; null reads as empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s&&[^ ]]\s*| \s+", " "))  # a single blank stays as it is
 
 
 def urls_in(text: Column) -> Column:
     """Distinct links of a text in order, closing punctuation cut off."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(URL_PATTERN), F.lit(0))
+    found = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_URL_SKIPPING), F.lit(1)), lambda u: u != "")
     return F.array_distinct(F.filter(F.transform(found, lambda u: F.regexp_replace(u, URL_TRAILER, "")), lambda u: u != ""))
 
 
@@ -56,15 +63,99 @@ def _windows(pieces: Column, widths, begins=None) -> Column:
     return _once(pieces, runs)
 
 
+_WORD, _BREAK = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+_AT_WORD = "(?<![\\p{L}\\p{N}_\U00010400])"  # the letter past the first 65,536 has Java look back by whole characters
+
+
+def _is_word(c: str) -> bool:
+    return c == "_" or unicodedata.category(c)[0] in "LN"
+
+
+def _tree(terms, end: str = "") -> str:
+    """A pattern of the longest of ``terms`` at a place, each followed by ``end``: a tree of their characters."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[None] = {}
+
+    def plain(c: str) -> str:
+        return "\\" + c if c.isascii() and not c.isalnum() and c != " " else c
+
+    def pattern(node: dict) -> str:
+        run = ""
+        while len(node) == 1 and None not in node:
+            ((c, node),) = node.items()
+            run += plain(c)
+        ways = [plain(c) + pattern(n) for c, n in node.items() if c is not None] + ([end] if None in node else [])
+        return run + (ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})")
+
+    return pattern(root)
+
+
+def _longest(text: Column, terms, end: str = "", anywhere: bool = False) -> Column:
+    """The distinct longest terms at the words of a text, or anywhere in it."""
+    tree = _tree(terms, end)
+    if anywhere:
+        pattern = f"(?=({tree}))"
+    elif all(_is_word(t[0]) for t in terms):
+        pattern = f"(?:{_BREAK}|(?!{tree}){_WORD}++)*+(?:(?=({tree})){_WORD}++)?"  # words where no term begins are passed over whole
+    else:
+        pattern = f"{_AT_WORD}(?=({tree}))"
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda t: t != ""))
+
+
+def _places(terms: list[str], edged: bool) -> dict[str, list[int]]:
+    """By term, the places in ``terms`` of all that stand where it does: itself and what it begins with (``edged``: up to the end of a word)."""
+    own: dict[str, list[int]] = {}
+    for i, t in enumerate(terms):
+        own.setdefault(t, []).append(i)
+    begins = lambda t: (t[:n] for n in range(1, len(t) + 1) if not edged or n == len(t) or not _is_word(t[n]))
+    return {t: [i for b in begins(t) for i in own.get(b, ())] for t in own}
+
+
+def _met(found: Column, places: dict[str, list[int]], shift: list[int] | None = None) -> Column:
+    """The places of all terms that stand where the longest ones were found."""
+    at = {t: [shift[i] for i in own] if shift else own for t, own in places.items()}
+    table = F.from_json(F.lit(json.dumps(at)), "map<string,array<int>>")
+    return F.flatten(F.transform(found, lambda t: table[t]))
+
+
+def _known_terms(lexicon: DataFrame) -> list | None:
+    """The terms by list, or nothing if they are too many for one expression."""
+    known = lexicon.select("list", "ord", "term", "deva").where("term <> ''").limit(_TREE_TERMS + 1).collect()
+    if len(known) > _TREE_TERMS or sum(len(r["term"]) for r in known) > _TREE_CHARS or max((len(r["term"]) for r in known), default=0) > 200:
+        return None
+    return sorted(known, key=lambda r: (r["list"], r["ord"]))
+
+
+def _terms_met(norm: Column, known: list) -> Column:
+    """The places in ``known`` of the terms that a text has."""
+    none, parts = F.array().cast("array<int>"), []
+    for deva in (False, True):
+        at = [i for i, r in enumerate(known) if r["deva"] == deva]
+        if at:
+            terms = [known[i]["term"] for i in at]
+            met = _met(_longest(norm, list(dict.fromkeys(terms)), "" if deva else f"(?!{_WORD})", deva), _places(terms, not deva), at)
+            parts.append(F.when(norm.rlike("[ऀ-ॿ]"), met).otherwise(none) if deva else met)
+    return F.array_distinct(F.concat(*parts)) if parts else none
+
+
 def lexicon_hits(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """``msg_id, list, ord`` for each term of the lexicon that a message has.
 
-    A term that begins and ends with a word character meets runs of a text's words, exactly as many as it has itself, by an equi-join;
+    A lexicon that fits one expression is looked for within the row. Of a larger one, a term that begins and ends with a word character meets runs of a text's words, exactly as many as it has itself, by an equi-join;
     any other, and any in Devanagari, meets pieces of its greatest length at the places where its first two characters stand. A text is cut up once, in
     one pass, and never travels beside its pieces. What a lexicon of moderate size begins with is known in every task, so that only
     such places are joined; with a larger one all are.
     """
     lexicon = rules.lexicon(messages.sparkSession) if lexicon is None else lexicon
+    listed = _known_terms(lexicon)
+    if listed is not None:
+        table = F.from_json(F.lit(json.dumps([{"list": r["list"], "ord": r["ord"]} for r in listed])), "array<struct<list:string,ord:bigint>>")
+        met = messages.select("msg_id", normalized(F.col("text")).alias("norm")).select("msg_id", F.explode(_terms_met(F.col("norm"), listed)).alias("at"))
+        return met.select("msg_id", F.get(table, F.col("at")).alias("t")).select("msg_id", "t.list", "t.ord")
     terms = lexicon.select("list", "ord", "term", "anchor", (F.col("deva") | ~F.col("term").rlike(r"^[\p{L}\p{N}_](?s:.*[\p{L}\p{N}_])?$")).alias("inside"), F.col("deva")).where("term <> ''")
     known = terms.limit(_BROADCAST_TERMS + 1).collect()
     small = len(known) <= _BROADCAST_TERMS
@@ -120,13 +211,30 @@ def _flags_sql(d, terms: dict) -> list[str]:
 
 
 def _verbs_met(verbs) -> Column:
-    """How many verbs begin at a word of ``norm``: pieces that one may begin with are gathered once, then each verb looks at these."""
-    cut = [re.findall(r"[^\W]+|\W+", v) for v in verbs]
-    starts = sorted({c[0][:2] for c in cut})
-    begins = lambda piece: F.substring(piece, 1, 2).isin(starts) | F.substring(piece, 1, 1).isin(starts)
-    most = 2 * max(map(len, verbs), default=1)  # a piece has a character at least
-    heard = F.array(*map(F.lit, verbs))
-    return _once(_windows(_pieces(F.col("norm")), [most], begins), lambda met: F.size(F.filter(heard, lambda v: F.exists(met, lambda x: F.startswith(x, v)))))
+    """How many verbs begin at a word of ``norm``."""
+    heard = [v for v in verbs if v]
+    if not heard:
+        return F.lit(len(verbs))
+    return F.size(F.array_distinct(_met(_longest(F.col("norm"), list(dict.fromkeys(heard))), _places(heard, False)))) + (len(verbs) - len(heard))
+
+
+def _parts_met(text: str, parts) -> Column:
+    """Whether a text has one of the parts: those that have another in them are left out, and those that share a word are looked for where it occurs."""
+    left = [p for p in dict.fromkeys(parts) if not any(q != p and q in p for q in parts)]
+    has, tests = (lambda p: F.contains(F.col(text), F.lit(p))), [F.lit(False)]
+    while left:
+        words = sorted({w for p in left for w in p.split(" ") if len(w) > 2} | set(left))
+        word = max(words, key=lambda w: (sum(w in p for p in left), len(w)))
+        own = [p for p in left if word in p]
+        anyone = F.lit(False)
+        for p in own:
+            anyone = anyone | has(p)
+        tests.append(has(word) & anyone if len(own) > 1 else has(own[0]))
+        left = [p for p in left if word not in p]
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
 
 
 def _part_terms(lexicon: DataFrame | None) -> dict:
@@ -209,25 +317,49 @@ def _verdict_sql(d) -> list[str]:
 def with_counts(rows: DataFrame, messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Adds to ``rows`` (one a message) the count ``n_<list>`` of each list's terms in ``messages`` (``msg_id, text``).
 
-    Rows meet the hits once, in one shuffle, without texts; messages without hits stay.
+    Rows that have their ``text`` (or it as ``norm``) are counted by themselves and lose it, if the lexicon fits one expression. Others meet the hits once,
+    in one shuffle, without texts; messages without hits stay.
     """
+    kept = [c for c in rows.columns if c not in ("text", "norm")]
+    listed = _known_terms(rules.lexicon(rows.sparkSession) if lexicon is None else lexicon) if len(kept) < len(rows.columns) else None
+    if listed is not None:
+        rows = rows if "norm" in rows.columns else rows.withColumn("norm", normalized(F.col("text")))
+        names = [r["list"] for r in listed]
+
+        def count(name):
+            if name not in names:
+                return F.lit(0).cast("long")
+            first = names.index(name)
+            return F.size(F.filter("_met", lambda i: (i >= first) & (i < first + names.count(name)))).cast("long")
+
+        return rows.select(*kept, _terms_met(F.col("norm"), listed).alias("_met")).select(*kept, *(count(x).alias(f"n_{x}") for x in LISTS))
     hits = lexicon_hits(messages, lexicon)
     counts = hits.groupBy("msg_id").agg(*(F.count(F.when(F.col("list") == x, 1)).alias(f"n_{x}") for x in LISTS))
-    return rows.join(counts, "msg_id", "left").fillna(0, [f"n_{x}" for x in LISTS])
+    return rows.drop("text", "norm").join(counts, "msg_id", "left").fillna(0, [f"n_{x}" for x in LISTS])
 
 
-def with_flags(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """Adds what is seen of a text beside its terms: a link of a bad kind, verbs and phrases of a request, safe and ordinary phrases."""
+def _flagged(messages: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """``with_flags``, with the text as ``norm`` besides."""
     kept = [c for c in messages.columns if c != "norm"]
-    own = messages.select(*kept, F.exists(urls_in(F.col("text")), lambda u: u.rlike(BAD_URL)).alias("bad_url"), normalized(F.col("text")).alias("norm"))
+    links = F.col("urls") if "urls" in kept else urls_in(F.col("text"))
+    own = messages.select(*kept, F.exists(links, lambda u: u.rlike(BAD_URL)).alias("bad_url"), normalized(F.col("text")).alias("norm"))
     parts = _part_terms(lexicon)
-    return own.select(*kept, "bad_url", _verbs_met(parts["otp_verb"]).alias("verbs"), *map(F.expr, _flags_sql(Spark, parts)[1:]))
+    flags = {"otp_phrase": "otp_phrase", "safe_part": "safe_marker", "transactional": "transactional"}
+    return own.select(*kept, "norm", "bad_url", _verbs_met(parts["otp_verb"]).alias("verbs"), *(_parts_met("norm", parts[x]).alias(c) for c, x in flags.items()))
+
+
+def with_flags(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Adds what is seen of a text beside its terms: a link of a bad kind, verbs and phrases of a request, safe and ordinary phrases.
+
+    Messages may have the links of their texts as ``urls``.
+    """
+    return _flagged(messages, lexicon).drop("norm")
 
 
 def indicators(messages: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """One row for each message: counts by list, flags, and the severity ``s_<indicator>`` of each indicator (null: absent)."""
-    own = messages.select("msg_id", "lang", "text")
-    return with_counts(with_flags(own, lexicon).drop("text"), own, lexicon).selectExpr("*", *_severity_sql())
+    """One row for each message: counts by list, flags, and the severity ``s_<indicator>`` of each indicator (null: absent). ``urls``, if messages have it, stays."""
+    own = messages.select("msg_id", "lang", "text", *(c for c in messages.columns if c == "urls"))
+    return with_counts(_flagged(own, lexicon), own, lexicon).selectExpr("*", *_severity_sql())
 
 
 def message_facts(found: DataFrame) -> DataFrame:
