@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.dialect import Duck, Spark
 from ..sources.tables import written
+from . import messages as M
 from .messages import level_sql
 
 BRACKET, BRACKETED = r"^\[", r"^\[([^\]]*)\]"
@@ -228,6 +229,19 @@ def combined_sql(d, message: str, url: str) -> str:
     return f"CASE WHEN {url} IS NULL THEN {message} ELSE CAST({d.even}({high} + (100 - {high}) * (CAST({low} AS DOUBLE) / 100) * CAST(0.7 AS DOUBLE), 0) AS INT) END"
 
 
+def with_links(texts: DataFrame) -> DataFrame:
+    """From ``msg_id, lang, text`` to ``msg_id, risk_score, category``, the best score ``url_score`` of a message's links (null: none) and their number ``n_urls``.
+
+    A text is read once, for its own score and its links; each distinct link is scored once. What meets again holds no texts.
+    """
+    found = M.with_scores(M.indicators(texts.withColumn("urls", M.urls_in(F.col("text"))))).select("msg_id", "risk_score", "category", "urls")
+    own = written(found, "message-scores")
+    mentions = own.select("msg_id", F.explode("urls").alias("url"))
+    links = written(distinct_urls(mentions).select("url", F.col("risk_score").alias("url_score")), "link-scores")
+    best = mentions.join(links, "url").groupBy("msg_id").agg(F.max("url_score").alias("url_score"), F.count(F.lit(1)).alias("n_urls"))
+    return own.drop("urls").join(best, "msg_id", "left").withColumn("n_urls", F.coalesce("n_urls", F.lit(0).cast("long")))
+
+
 def nested_sql(source: str, steps) -> str:
     """The steps as nested selects of the checking engine."""
     sql = source

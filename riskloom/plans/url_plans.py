@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.dialect import Duck, Spark
 from ..operators import lookalikes as L
 from ..operators import messages as M
@@ -19,18 +17,10 @@ _PARTS = ["url_id", *U.PARTS]
 _SCORES = ["url_id", "total", "risk_score", "risk_level", "is_suspicious", "confidence", "n_indicators"]
 
 
-def _mentions(messages):
-    return messages.select("msg_id", F.explode(M.urls_in(F.col("text"))).alias("url"))
-
-
 def _combined(spark, sf_dir):
     """Messages meet the scores of their links: each distinct link is scored once."""
-    messages = read(spark, sf_dir, MESSAGES, "documents")
-    mentions = _mentions(messages)
-    best = mentions.join(U.distinct_urls(mentions).select("url", "risk_score"), "url").groupBy("msg_id").agg(F.max("risk_score").alias("url_score"), F.count(F.lit(1)).alias("n_urls"))
-    scores = M.message_scores(M.indicators(messages)).select("msg_id", F.col("risk_score").alias("message_score"))
-    both = scores.join(best, "msg_id", "left")
-    return both.selectExpr("msg_id", "message_score", "url_score", "coalesce(n_urls, 0) AS n_urls", f"{U.combined_sql(Spark, 'message_score', 'url_score')} AS score")
+    both = U.with_links(read(spark, sf_dir, MESSAGES, "documents")).withColumnRenamed("risk_score", "message_score")
+    return both.selectExpr("msg_id", "message_score", "url_score", "n_urls", f"{U.combined_sql(Spark, 'message_score', 'url_score')} AS score")
 
 
 QUERIES = {
