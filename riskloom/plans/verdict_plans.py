@@ -64,14 +64,11 @@ def _answers(s, d):
     """The rules' answers alone, and together with the links of a message, for each labelled message."""
     rows = read(s, d, _EVALUATED, "documents")
     texts = rows.select(F.col("id").alias("msg_id"), F.col("language").alias("lang"), "text")
-    scores = written(M.message_scores(M.indicators(texts)).select(F.col("msg_id").alias("id"), "risk_score", "category"), "rule-scores")
-    scores = scores.withColumn("predicted_type", E.dataset_category())
-    mentions = texts.select(F.col("msg_id").alias("id"), F.explode(M.urls_in(F.col("text"))).alias("url"))
-    best = mentions.join(written(U.distinct_urls(mentions).select("url", "risk_score"), "link-scores").select("url", F.col("risk_score").alias("url_score")), "url").groupBy("id").agg(F.max("url_score").alias("url_score"))
+    scored = U.with_links(texts).select(F.col("msg_id").alias("id"), "risk_score", F.expr(U.combined_sql(Spark, "risk_score", "url_score")).alias("both"), E.dataset_category().alias("predicted_type"))
+    scores = written(scored, "rule-scores")
     said = lambda score: F.when(score >= 50, "scam").otherwise("safe").alias("prediction")
-    together = scores.join(best, "id", "left").withColumn("both", F.expr(U.combined_sql(Spark, "risk_score", "url_score")))
     return written(E.predictions(
-        rows, rules=scores.select("id", said(F.col("risk_score")), "predicted_type"), combined=together.select("id", said(F.col("both")), "predicted_type")), "answers")
+        rows, rules=scores.select("id", said(F.col("risk_score")), "predicted_type"), combined=scores.select("id", said(F.col("both")), "predicted_type")), "answers")
 
 
 def _evaluation(s, d):
