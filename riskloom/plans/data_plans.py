@@ -41,7 +41,7 @@ QUERIES = {
     "leakage_clean": lambda s, d: H.leakage_clean(_split(s, d)).select("id"),
     "profile_sets": lambda s, d: H.profile(_split(s, d)),
     "label_problems": lambda s, d: H.validate(_rows(s, d).withColumn("label", F.when(F.col("id") % 10 == 0, "odd").otherwise(F.col("label"))), ["id", "text", "label"]).withColumnRenamed("count", "n"),
-    "redacted_text": lambda s, d: read(s, d, "SELECT doc_id, text FROM documents", "documents").selectExpr("doc_id", f"{H.redaction_sql(False)} AS clean").selectExpr("doc_id", f"{H.shortened_sql('clean')} AS redacted"),
+    "redacted_text": lambda s, d: H.redacted(read(s, d, "SELECT doc_id, text FROM documents", "documents")).selectExpr("doc_id", f"{H.shortened_sql('clean')} AS redacted"),
     "weak_category": lambda s, d: _rows(s, d).selectExpr("id", f"{H.WEAK_CATEGORY} AS category"),
     "weak_indicators": lambda s, d: _rows(s, d).selectExpr("id", "text", f"{H.WEAK_CATEGORY} AS category").selectExpr("id", f"{H.weak_indicators_sql()} AS indicators"),
     "zone_counts": lambda s, d: Z.zones(U.url_scores(read(s, d, URLS, "pages"))).groupBy("zone").count().withColumnRenamed("count", "n_urls"),

@@ -46,3 +46,25 @@ def test_links_and_parts_equal_the_plain_patterns(spark):
     norm = _rows(spark, [*texts, *parts, *(p[1:] + "x" for p in parts)]).select(M.normalized(F.col("text")).alias("norm"))
     both = norm.select(M._parts_met("norm", parts).alias("own"), F.expr(M._any_part(M.Spark, "norm", [p.replace("'", "\\'") if "'" in p else p for p in parts]).replace("\\''", "\\'")).alias("plain")).collect()
     assert [r["own"] for r in both] == [r["plain"] for r in both] and any(r["own"] for r in both)
+
+
+def test_a_text_is_read_once_for_its_score_and_its_links(spark, monkeypatch):
+    from riskloom.operators import urls as U
+
+    texts, seen = ["share OTP at bit.ly/x and http://sbi-verify.example.tk/login", "hello", None, "see bit.ly/x, bit.ly/x"], []
+    monkeypatch.setattr(M, "urls_in", lambda text, own=M.urls_in: seen.append(1) or own(text))
+    found = {r["msg_id"]: r for r in U.with_links(_rows(spark, texts)).collect()}
+    assert len(seen) == 1 and [found[i]["n_urls"] for i in range(4)] == [2, 0, 0, 1] and found[1]["url_score"] is None and found[0]["url_score"] > found[3]["url_score"]
+
+
+def test_redaction_by_steps_equals_the_plain_patterns(spark):
+    from riskloom.operators import hygiene as H
+
+    texts = [
+        None, "", "OTP is 123456, pin: 9999.", "Card 1234 5678 9012 3456 and 1234-5678-9012-3456x", "Mail A.B@C.Example.ORG now, me@upi too", "a/c no 12345, acct: 998877", "call 9876543210 or 123456789012",
+        "from 10.20.30.40 to 1.2.3.4.5", "Ref no. 123456\t\t next\n\nline  two", "HTTPS://X.y/z?a=1111 2222", "1.2.3 1234", "x" * 300 + " 9876543210",
+    ]
+    rows = H.redacted(_rows(spark, texts)).withColumn("plain", F.expr(H.redaction_sql(False)))
+    got = rows.collect()
+    assert [r["clean"] for r in got] == [r["plain"] for r in got] and len(H._NEEDS) == len(H.REDACTIONS)
+    assert "rlike" in H.redacted(_rows(spark, texts))._jdf.queryExecution().optimizedPlan().toString().lower()
