@@ -39,8 +39,8 @@ def _payload_combined(spark, sf_dir):
     keys = ["container", "pos", "content_type"]
     url = U.url_scores(rows.where("content_type = 'url'").withColumnRenamed("payload", "url")).select(*keys, "risk_score")
     upi = P.payment_scores(rows.where("content_type = 'upi'").withColumnRenamed("payload", "uri")).select(*keys, "risk_score")
-    texts = rows.where("content_type = 'text'").selectExpr("container", "pos", "content_type", "container * 9 + pos AS msg_id", "'' AS lang", "payload AS text")
-    message = texts.join(M.message_scores(M.indicators(texts)).select("msg_id", "risk_score"), "msg_id").select(*keys, "risk_score")
+    texts = rows.where("content_type = 'text'").selectExpr("struct(container, pos, content_type) AS msg_id", "'' AS lang", "payload AS text")
+    message = M.message_scores(M.indicators(texts)).select("msg_id.*", "risk_score")
     unknown = rows.where("content_type = 'unknown'").selectExpr(*keys, "0 AS risk_score")
     return P.combined_scores(url.unionByName(upi).unionByName(message).unionByName(unknown))
 
