@@ -54,13 +54,13 @@ def scored(rows: DataFrame) -> DataFrame:
     """
     rows = written(rows, "routed")
     texts = rows.where("content_type = 'text'")
-    carried = F.struct("kind", F.get(M.urls_in(F.col("content")), F.lit(0)).alias("url"), F.col("content").alias("words"))  # goes unread through the message job
-    found = M.with_scores(M.indicators(texts.select(F.col("item_id").alias("msg_id"), carried.alias("lang"), F.col("content").alias("text"))))
+    carried = F.struct("kind", F.col("content").alias("words"))  # goes unread through the message job
+    found = M.with_scores(M.indicators(texts.select(F.col("item_id").alias("msg_id"), carried.alias("lang"), F.col("content").alias("text"), M.urls_in(F.col("content")).alias("urls"))))
     none = F.lit(None).cast("string")
     message = found.select(
         F.col("msg_id").alias("item_id"), F.col("lang.kind").alias("kind"), F.lit("text").alias("content_type"), "risk_score", "risk_level", F.col("is_scam").alias("is_suspicious"),
         F.col("confidence").cast("double").alias("confidence"), "category", _fired("s_", M.INDICATORS, F.col("guarded"), rules.WEAK).alias("indicators"),
-        F.col("lang.url").alias("url"), none.alias("payee"), F.col("lang.words").alias("words"))
+        F.get("urls", F.lit(0)).alias("url"), none.alias("payee"), F.col("lang.words").alias("words"))
     links = U.url_scores(rows.where("content_type = 'url'").withColumnRenamed("content", "url")).withColumn("indicators", _fired("p_", U.INDICATORS))
     pays = P.payment_scores(rows.where("content_type = 'upi'").withColumnRenamed("content", "uri")).withColumn("indicators", _fired("p_", P.INDICATORS))
     url = links.select(*_SCORED[:6], F.col("confidence").cast("double").alias("confidence"), none.alias("category"), "indicators", "url", none.alias("payee"), none.alias("words"))
@@ -115,22 +115,23 @@ def container_verdicts(payloads: DataFrame) -> DataFrame:
 
     The strongest score counts in full, each other one takes up to seven tenths of what is left; confidence is the
     highest, the first payload is the primary one, indicators are all payloads' in order. Blank payloads count as unknown.
+    The scored payloads meet by container in one shuffle; equal lists of names of a container are one row before they are gathered.
     """
     items = payloads.select(F.struct("container", "pos").alias("item_id"), F.lit("qr").alias("kind"), F.coalesce(F.trim("payload"), F.lit("")).alias("payload"))
     rows = items.selectExpr("item_id", "kind", "payload AS content", f"{P.content_type_sql(Spark)} AS content_type")
-    found = with_context(scored(rows)).select("item_id.*", *_SCORED[2:7], "indicators")
+    found = with_context(scored(rows)).select("item_id.*", "content_type", "risk_score", "confidence", "indicators").repartition("container")
     left = F.log(1 - 0.7 * F.col("risk_score") / 100)  # never zero: scores end at 100
-    sums = found.groupBy("container").agg(
-        F.count(F.lit(1)).alias("n_payloads"), F.max("risk_score").alias("_top"), F.sum(left).alias("_left"), F.max("confidence").alias("confidence"),
-        F.min_by("content_type", "pos").alias("primary_type"))
+    alike = found.groupBy("container", "indicators").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("risk_score").alias("_top"), F.sum(left).alias("_left"), F.max("confidence").alias("confidence"), F.min(F.struct("pos", "content_type")).alias("_first"))
+    sums = alike.groupBy("container").agg(
+        F.sum("_n").alias("n_payloads"), F.max("_top").alias("_top"), F.sum("_left").alias("_left"), F.max("confidence").alias("confidence"),
+        F.min("_first").alias("_first"), F.array_sort(F.collect_list(F.struct("_first.pos", "indicators"))).alias("_lists"))
     total = 100 - (100 - F.col("_top")) * F.exp(F.col("_left") - F.log(1 - 0.7 * F.col("_top") / 100))
-    folded = sums.withColumn("score", F.bround(total, 6))
-    verdict = folded.selectExpr(
-        "container", "n_payloads", "primary_type", "score", "CAST(bround(score, 0) AS INT) AS risk_score", f"{M.level_sql('score')} AS risk_level",
-        "score >= 50 AS is_suspicious", "confidence")
-    names = merged_indicators(found, "container", "pos")
-    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
-    return verdict.join(names, "container", "left").withColumn("indicators", F.coalesce("indicators", empty))
+    folded = sums.withColumn("score", F.bround(total, 6)).withColumn("_names", F.flatten("_lists.indicators")).withColumn("_low", F.transform("_names", F.lower))
+    first = F.transform(F.array_distinct("_low"), lambda x: F.get("_names", (F.array_position("_low", x) - 1).cast("int")))
+    return folded.selectExpr(
+        "container", "n_payloads", "_first.content_type AS primary_type", "score", "CAST(bround(score, 0) AS INT) AS risk_score", f"{M.level_sql('score')} AS risk_level",
+        "score >= 50 AS is_suspicious", "confidence", "_names", "_low").withColumn("indicators", first).drop("_names", "_low")
 
 
 def stages(artefacts: DataFrame) -> DataFrame:

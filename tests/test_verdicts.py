@@ -60,3 +60,18 @@ def test_data_set_helpers(spark):
 def test_character_terms_stay_inside_words(spark):
     rows = spark.createDataFrame([(1, "Ab  c"), (2, None), (3, "")], "id long, text string")
     assert sorted(r["term"] for r in classifier.char_terms(rows).collect()) == sorted([" ab", "ab ", " ab ", " c "])
+
+
+def test_payloads_of_containers_meet_in_one_shuffle(spark):
+    texts = ["upi://pay?pa=a@upi&am=60000&tn=otp", "share OTP and enter PIN, your bank account will be blocked", "http://user:pw@evil.example/login", "", "upi://pay?pa=a@upi&am=60000&tn=otp"]
+    rows = spark.createDataFrame([(c, p, t) for c in (1, 2) for p, t in enumerate(texts[:: 1 if c == 1 else -1])], "container long, pos long, payload string")
+    found = verdicts.container_verdicts(rows)
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Generate" not in plan and "Join" not in plan
+    got = {r["container"]: r for r in found.collect()}
+    each = verdicts.with_context(verdicts.scored(rows.selectExpr("struct(container, pos) AS item_id", "'qr' AS kind", "trim(payload) AS content", "CASE WHEN payload = '' THEN 'unknown' WHEN payload LIKE 'upi%' THEN 'upi' WHEN payload LIKE 'http%' THEN 'url' ELSE 'text' END AS content_type")))
+    names = {}
+    for r in sorted(each.select("item_id.*", "indicators").collect(), key=lambda r: (r["container"], r["pos"])):
+        own = names.setdefault(r["container"], [])
+        own += [x for x in r["indicators"] if x not in own]
+    assert {c: r["indicators"] for c, r in got.items()} == names and {r["n_payloads"] for r in got.values()} == {5} and got[1]["score"] == got[2]["score"]
